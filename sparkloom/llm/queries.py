@@ -9,6 +9,7 @@ from sparkloom.llm.exact_dedup import exact_dedup, normalised
 from sparkloom.llm.mixing import mix
 from sparkloom.llm import quality_rules as rules
 from sparkloom.llm.simhash import simhash_dedup
+from sparkloom.llm.toxicity import toxicity
 from sparkloom.session import read_table
 
 QUERIES: dict = {}
@@ -154,3 +155,8 @@ SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_d
       OR n_words >= {rules.MIN_WORDS_FOR_WORDS} AND word_distance > {rules.MAX_WORD_DISTANCE}) AS kept
 FROM j
 """
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
