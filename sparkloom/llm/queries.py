@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.exact_dedup import exact_dedup, normalised
+from sparkloom.llm.line_dedup import line_dedup
 from sparkloom.llm.mixing import mix
 from sparkloom.llm import quality_rules as rules
 from sparkloom.llm.simhash import simhash_dedup
+from sparkloom.llm.substring_dedup import substring_dedup
 from sparkloom.llm.toxicity import toxicity
 from sparkloom.session import read_table
 
@@ -160,3 +162,15 @@ FROM j
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "removed")
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "removed")
