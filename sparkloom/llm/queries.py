@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.exact_dedup import exact_dedup, normalised
+from sparkloom.llm.html_text import main_text
 from sparkloom.llm.line_dedup import line_dedup
 from sparkloom.llm.mixing import mix
 from sparkloom.llm import quality_rules as rules
@@ -23,6 +24,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 @query
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(read_table(spark, sf_dir, "documents"))
