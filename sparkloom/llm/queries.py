@@ -10,6 +10,7 @@ from sparkloom.llm.html_text import main_text
 from sparkloom.llm.line_dedup import line_dedup
 from sparkloom.llm.mixing import mix
 from sparkloom.llm import quality_rules as rules
+from sparkloom.llm.pieces import encode
 from sparkloom.llm.simhash import simhash_dedup
 from sparkloom.llm.substring_dedup import substring_dedup
 from sparkloom.llm.toxicity import toxicity
@@ -180,3 +181,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "removed")
+
+
+@query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(read_table(spark, sf_dir, "documents"))
