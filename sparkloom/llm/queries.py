@@ -10,6 +10,7 @@ from sparkloom.llm.html_text import main_text
 from sparkloom.llm.line_dedup import line_dedup
 from sparkloom.llm.mixing import mix
 from sparkloom.llm import quality_rules as rules
+from sparkloom.llm.ordinal_quality import ordinal_quality
 from sparkloom.llm.pieces import encode
 from sparkloom.llm.simhash import simhash_dedup
 from sparkloom.llm.substring_dedup import substring_dedup
@@ -186,3 +187,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
