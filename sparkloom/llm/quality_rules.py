@@ -43,13 +43,10 @@ MAX_CHAR_DISTANCE, MIN_CHARS_FOR_CHARS = 0.25, 200
 MAX_WORD_DISTANCE, MIN_WORDS_FOR_WORDS = 0.24, 100
 
 
-def _window_hashes(w: Column) -> Column:
-    """A hash of each run of eight words, in order; needs at least eight words."""
-    out = F.transform(w, lambda x: F.xxhash64(x))
-    for step in (1, 2, 4):
-        n = F.size(out) - step
-        out = F.zip_with(F.slice(out, 1, n), F.slice(out, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
-    return out
+def _pair_up(hashes: str, step: int) -> Column:
+    """Each hash combined with the one ``step`` on; the last ``step`` of them mean nothing."""
+    h = F.col(hashes)
+    return F.zip_with(h, F.slice(h, F.lit(step + 1), F.size(h)), lambda a, b: F.xxhash64(a, b))
 
 
 def _covered(starts: Column) -> Column:
@@ -66,7 +63,10 @@ def repeat_words(df: DataFrame, words_col: str, out: str) -> DataFrame:
     Sorting (hash, place) pairs puts equal windows side by side, which costs
     n log n for any text; texts without an equal pair skip it.
     """
-    df = df.withColumn("_h", F.when(F.size(words_col) >= WINDOW, _window_hashes(F.col(words_col))))
+    df = df.withColumn("_h", F.when(F.size(words_col) >= WINDOW, F.transform(words_col, lambda x: F.xxhash64(x))))
+    for step in (1, 2, 4):  # runs of two, four and eight words, each column computed once
+        df = df.withColumn("_h", _pair_up("_h", step))
+    df = df.withColumn("_h", F.slice("_h", 1, F.size(words_col) - WINDOW + 1))
     repeats = F.size(F.array_distinct("_h")) < F.size("_h")
     df = df.withColumn(
         "_s", F.when(repeats, F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -88,7 +88,10 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     )
     rows = rows.withColumn("_w", words(F.col("_t")))
     rows = repeat_words(rows, "_w", "n_repeat_words")
-    counts = [F.regexp_count("_t", F.lit(c)).cast("long") for c in CLASSES]
+    rows = rows.withColumn("_left0", F.col("_t"))
+    for k, c in enumerate(CLASSES):  # each class is taken out of what the classes before it left
+        rows = rows.withColumn(f"_left{k + 1}", F.regexp_replace(f"_left{k}", f"{c}+", ""))
+    counts = [(F.length(f"_left{k}") - F.length(f"_left{k + 1}")).cast("long") for k in range(len(CLASSES))]
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     every = sorted({w for ws in COMMON_WORDS.values() for w in ws})
     own = reduce(
