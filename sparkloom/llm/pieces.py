@@ -37,9 +37,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 16
 FAN = 32
 MARK = "▁"
-_SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _REMEMBERED = 250_000
 _BATCH = 256
+_ONE_OR_TWO = (2, 1)
 #: Longer stretches are traced without keeping their prefixes.
 _SHORT = 64
 
@@ -53,12 +53,15 @@ def load(path: str = MODEL) -> dict:
     usual = [i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
     pieces = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in usual}
     scores = {p: s for p, (_, s) in pieces.items()}
+    pairs = {x for p in pieces for x in zip(p, p[1:])}
+    apart = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    mixed = {x for a, b in pairs for x, y in ((a, b), (b, a)) if y in apart and x not in apart and x != MARK}
     whole = {p: merged(p, scores) == [p] for p in pieces}
     if sp.normalize("a  b\t") != f"{MARK}a{MARK}{MARK}b\t" or sum(map(sp.is_byte, ids)) != 256:
         raise ValueError(f"{path}: a model with byte fallback and no normalisation is needed")
     if any(MARK in p.lstrip(MARK) for p in pieces):
         raise ValueError(f"{path}: a piece crosses a space mark")
-    return {"pieces": pieces, "bytes": [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], "size": len(ids), "whole": {p for p, fine in whole.items() if fine}}
+    return {"pieces": pieces, "bytes": [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], "size": len(ids), "whole": {p for p, fine in whole.items() if fine}, "apart": apart, "mixed": "".join(sorted(mixed))}
 
 
 def merged(text: str, scores: dict[str, float]) -> list[str]:
@@ -84,14 +87,20 @@ class Codec:
         self.scores = {p: s for p, (_, s) in model["pieces"].items()}
         self.longest = max(map(len, self.ids))
         self.bytes = model["bytes"]
+        #: Stretches between reset points: no piece reaches over the border of two. Marks of
+        #: punctuation share pieces with their like alone, but for texts with a ``mixed`` character.
+        apart, self.coarse = re.escape(model["apart"]), re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+        self.fine = re.compile(f"{MARK}*[^{MARK}\n{apart}]+|{MARK}*[{apart}]+|{MARK}+|\n")
+        self.mixed = re.compile(f"[{re.escape(model['mixed'])}]" if model["mixed"] else r"(?!)")
         self.pairs: dict[tuple[str, str], bool] = {}
         self.steps: dict[int, bool] = {}
         self.survivors: dict[str, tuple[int, int]] = {}
-        #: Lengths of the pieces by their last two characters.
+        #: Lengths of the pieces by their last three characters; shorter ones are always tried.
         self.ending: dict[str, list[int]] = {}
         for p in self.ids:
-            self.ending.setdefault(p[-2:], []).append(len(p))
-        self.ending = {k: sorted({*v, 1}, reverse=True) for k, v in self.ending.items()}
+            if len(p) > 2:
+                self.ending.setdefault(p[-3:], []).append(len(p))
+        self.ending = {k: [*sorted(set(v), reverse=True), 2, 1] for k, v in self.ending.items()}
         #: Lengths of the pieces by their first two characters, longest first, the single character last.
         self.lengths: dict[str, list[int]] = {}
         for p in self.ids:
@@ -149,14 +158,14 @@ class Codec:
         most stretches share their beginning with one seen before.
         """
         known, ids, scores, steps, ending = self.survivors, self.ids, self.scores, self.steps, self.ending
-        if len(known) > 2 * _REMEMBERED:
+        if len(known) > 3 * _REMEMBERED:
             known.clear()
         end = len(text)
         done = end
         while done and text[:done] not in known:
             done -= 1
         for e in range(done + 1, end + 1):
-            for n in ending.get(text[e - 2 : e] if e > 1 else text[:1], (1,)):
+            for n in ending.get(text[e - 3 : e], _ONE_OR_TWO) if e > 2 else _ONE_OR_TWO:
                 start = e - n
                 if start < 0:
                     continue
@@ -231,12 +240,13 @@ class Codec:
         """Ids of a text of one chunk."""
         if not text:
             return iter(())
-        return chain.from_iterable(map(self.stretches.__getitem__, _SEGMENT.findall(MARK + text.replace(" ", MARK))))
+        borders = self.coarse if self.mixed.search(text) else self.fine
+        return chain.from_iterable(map(self.stretches.__getitem__, borders.findall(MARK + text.replace(" ", MARK))))
 
     def decode(self, ids) -> str:
         """Text of ids; the mark in front goes, broken bytes become U+FFFD."""
         shown = self.shown
-        text = b"".join([shown[i] for i in ids])
+        text = b"".join(map(shown.__getitem__, ids))
         return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
 
     # many chunks
