@@ -38,15 +38,17 @@ def fixed_texts(body: Column, size: int = SIZE, overlap: int = OVERLAP) -> Colum
 def chunk_documents(corpus: DataFrame, cfg: dict) -> DataFrame:
     """``chunk_id, doc_id, doc_title, text, doc_ord, n`` by the strategy in ``cfg``."""
     strategy = cfg["strategy"]
+    # an explode of one element keeps a column from being computed anew for every window over it
     if strategy == "paragraph":
         rows = corpus.withColumn("_texts", paragraph_texts(F.col("body")))
     elif strategy == "sentence_window":
-        # an explode of one element keeps the sentences from being computed anew for every window
         rows = corpus.select("*", F.explode(F.array(sentences(F.col("body")))).alias("_s")).withColumn(
             "_texts", sentence_window_texts(F.col("_s"), cfg.get("window", WINDOW), cfg.get("stride", STRIDE))
         )
     elif strategy == "fixed":
-        rows = corpus.withColumn("_texts", fixed_texts(F.col("body"), cfg.get("size", SIZE), cfg.get("overlap", OVERLAP)))
+        rows = corpus.select("*", F.explode(F.array("body")).alias("_b")).withColumn(
+            "_texts", fixed_texts(F.col("_b"), cfg.get("size", SIZE), cfg.get("overlap", OVERLAP))
+        )
     else:
         raise ValueError(f"unknown chunking strategy {strategy!r}")
     rows = rows.select("doc_id", F.col("title").alias("doc_title"), "doc_ord", F.posexplode("_texts").alias("n", "text"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import tokens
 from sparkloom.functions.vectors import dot
+from sparkloom.storage import table
 
 K1, B, TOP_K, ALPHA, THRESHOLD = 1.5, 0.75, 5, 0.65, 0.25
 #: Scores are compared at this many digits, so that equal sums in another order tie.
@@ -46,13 +47,13 @@ def cosine_topk(
 
 
 class BM25:
-    """Inverted index over chunks: ``postings(key, term, tf)``, ``lengths(key, order, length)``, ``idf(term, df, idf)``."""
+    """Inverted index over chunks, written once: ``postings(key, term, tf)``, ``lengths(key, order, length)``, ``idf(term, df, idf)``."""
 
     def __init__(self, chunks: DataFrame, key: str = "chunk_id", text: str = "text", order: str = "doc_ord", k1: float = K1, b: float = B) -> None:
         self.key, self.order, self.k1, self.b = key, order, k1, b
         words = chunks.select(F.col(key).alias("_k"), F.col(order).alias("_o"), tokens(F.col(text)).alias("_t"))
-        self.lengths = words.select("_k", "_o", F.size("_t").alias("length"))
-        self.postings = words.select("_k", F.explode("_t").alias("term")).groupBy("_k", "term").agg(F.count("*").alias("tf"))
+        self.lengths = table(words.select("_k", "_o", F.size("_t").alias("length")))
+        self.postings = table(words.select("_k", F.explode("_t").alias("term")).groupBy("_k", "term").agg(F.count("*").alias("tf")))
         self.stats = self.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg_len"))
         df = self.postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.stats))
         self.idf = df.select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
