@@ -1,12 +1,14 @@
 """Fuzzy line deduplication.
 
-Lines are normalised (lower case, digits as 0, no punctuation, single spaces) and equal ones
+Lines are normalised (lower case, digits as 0, no punctuation at the ends of words, single spaces) and equal ones
 collapse by digest. Each distinct line gets a SimHash over its words, a repeated word counting
 as another feature each time. Lines whose fingerprints differ in at most three bits are found by
 pigeonhole: of six blocks at least three are equal, and since the blocks form two
-groups of three, two of the equal ones share a group; so a join on each of the six pairs within a group finds all.
-Pairs that pass the full distance are verified by edit similarity of the normalised
-lines, at least ``SIMILARITY``. Of each connected group of lines the occurrence first in
+groups of three, two of the equal ones share a group; so a semi join on each of the six pairs within a group finds every
+line that has a partner. The lines under one key are then compared in one task (large keys in several), where
+those within the full distance are verified by edit similarity of the normalised lines, at least
+``SIMILARITY``, unless already connected: no link that would connect more is lost, and a group of near copies
+yields one link a line. Of each connected group of lines the occurrence first in
 order of doc_id and offset stays.
 
 Only digests, fingerprints, ids and offsets are shuffled before the verification, which
@@ -39,31 +41,47 @@ MIN_WORDS = 3
 #: Six blocks as (first bit, width), and the pairs within each group of three.
 BLOCKS = ((0, 11), (11, 11), (22, 10), (32, 11), (43, 11), (54, 10))
 PAIRS = ((0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5))
-_DROP = re.compile(r"[^\w\s]|_")
+#: Word hashes, or lines, held at once by a task; each hash is spread to 64 bytes.
+_HELD = 100_000
+#: Lines of one bucket that a task compares; larger buckets are dealt out as pairs of parts.
+_PART = 20_000
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u2026"
 _DIGIT = re.compile(r"\d")
 
 
+def flatten(text: str) -> str:
+    """Lower case, digits as 0; line breaks stay where they are in number."""
+    return _DIGIT.sub("0", text.lower())
+
+
+def bare(words: list[str]) -> list[str]:
+    """Words without punctuation at their ends, those of nothing else left out."""
+    return [x for x in [w.strip(_MARKS) for w in words] if x]
+
+
 def normalise(line: str) -> list[str]:
     """Words of the normalised line."""
-    return _DIGIT.sub("0", _DROP.sub("", line.lower())).split()
+    return bare(flatten(line).split())
 
 
 def features(words: list[str]) -> list[int]:
     """A hash of each word, seeded by how often it came before."""
-    seen: dict[str, int] = {}
-    out = []
-    for w in words:
-        n = seen.get(w, 0)
-        seen[w] = n + 1
-        out.append(xxhash.xxh64_intdigest(w, n))
+    out = list(map(xxhash.xxh64_intdigest, words))
+    if len(set(words)) < len(words):
+        seen: dict[str, int] = {}
+        for k, w in enumerate(words):
+            n = seen.get(w, 0)
+            seen[w] = n + 1
+            if n:
+                out[k] = xxhash.xxh64_intdigest(w, n)
     return out
 
 
 def fingerprints(hashes: list[int], sizes: list[int]) -> np.ndarray:
     """SimHash of consecutive runs of ``hashes``: bits set in over half of a run."""
     bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    ends = np.cumsum(sizes)
+    ones = np.array([bits[e - n : e].sum(0, dtype=np.int32) for e, n in zip(ends, sizes)])
     return np.packbits(2 * ones > np.array(sizes)[:, None], axis=1, bitorder="little").view(np.uint64).ravel().view(np.int64)
 
 
@@ -113,13 +131,22 @@ def _lines(source: DataFrame, min_words: int) -> DataFrame:
     names = ["doc", "text_key", "start", "end", "line", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, at, hashes, sizes, which = [], {}, [], [], []
+
+        def found() -> pa.RecordBatch:
+            fps = fingerprints(hashes, sizes)[which]
+            arrays = [*(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), pa.array(fps)]
+            for held in (rows, at, hashes, sizes, which):
+                held.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
         for batch in batches:
-            rows, at, hashes, sizes, which = [], {}, [], [], []
-            for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
-                start = 0
-                for line in (text or "").split("\n"):
+            for row in range(batch.num_rows):
+                doc, key, text = (c[row].as_py() for c in batch.columns)
+                start, text = 0, text or ""
+                for line, flat in zip(text.split("\n"), flatten(text).split("\n")):
                     end = start + len(line)
-                    words = normalise(line)
+                    words = bare(flat.split())
                     if len(words) >= min_words:
                         digest = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
                         if digest not in at:
@@ -129,9 +156,10 @@ def _lines(source: DataFrame, min_words: int) -> DataFrame:
                         rows.append((doc, key, start, end, digest))
                         which.append(at[digest])
                     start = end + 1
-            if rows:
-                fps = fingerprints(hashes, sizes)[which]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), pa.array(fps)], names=names)
+                    if len(hashes) > _HELD or len(rows) > _HELD:
+                        yield found()
+        if rows:
+            yield found()
 
     return source.mapInArrow(run, "doc long, text_key long, start int, end int, line binary, fp long")
 
@@ -141,16 +169,24 @@ def _block(fp: Column, k: int) -> Column:
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def close_fingerprints(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """All pairs ``(a, b)``, a < b, of distinct fingerprints within ``distance`` bits."""
-    fp = F.col("fp")
-    keys = [
-        (_block(fp, i) * (1 << 11) + _block(fp, j) + (n << 24)).cast("int") for n, (i, j) in enumerate(PAIRS)
-    ]
-    posted = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    left, right = posted.withColumnRenamed("fp", "a"), posted.withColumnRenamed("fp", "b")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+def block_keys(fp: Column) -> Column:
+    """The six keys under which a fingerprint is posted."""
+    keys = [(_block(fp, i) * (1 << 11) + _block(fp, j) + (n << 24)).cast("int") for n, (i, j) in enumerate(PAIRS)]
+    return F.array(*keys)
+
+
+def suspects(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``fp, key``: postings that share their key with another fingerprint within ``distance``.
+
+    ``fps(fp, lines)``; a fingerprint of several lines is posted under its first key at least. A
+    semi join stops at the first partner, so the pairs of a large group are never listed.
+    """
+    posted = fps.select("fp", F.explode(block_keys(F.col("fp"))).alias("key"))
+    other = posted.select(F.col("fp").alias("b"), F.col("key").alias("_key"))
+    near = (F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= distance)
+    found = posted.join(other, (F.col("key") == F.col("_key")) & near, "left_semi")
+    several = fps.where("lines > 1").select("fp", block_keys(F.col("fp"))[0].alias("key"))
+    return found.union(several).distinct()
 
 
 def _texts(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -170,13 +206,65 @@ def _texts(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Data
     return cutout.mapInArrow(run, "line binary, norm string")
 
 
-def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
+def bucket_links(fps: np.ndarray, lines: list[bytes], norms: list[str], similarity: float, distance: int = DISTANCE) -> list[tuple[bytes, bytes]]:
+    """Verified links that connect whatever all verified links among these lines connect.
+
+    Lines already connected are not compared again, so a group of near copies costs one
+    verification a line instead of one a pair, and gives one link a line.
+    """
+    order = np.argsort(fps, kind="stable")
+    bits, root, out = fps[order].view(np.uint64), list(range(len(order))), []
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(1, len(order)):
+        near = np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]) <= distance)
+        for j in near[::-1]:
+            a, b = top(i), top(int(j))
+            if a != b and similar(norms[order[i]], norms[order[j]], similarity):
+                root[a] = b
+                out.append((lines[order[i]], lines[order[j]]))
+    return out
+
+
+def _links(entries: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` between lines of ``entries(key, line, fp, norm)`` that share a key."""
+    sizes = entries.groupBy("key").agg(F.ceil(F.count("*") / _PART).cast("int").alias("parts"))
+    dealt = entries.join(sizes, "key")
+    own = F.pmod(F.xxhash64("line"), F.col("parts")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("_own")).alias("p"), F.greatest(p, F.col("_own")).alias("q")))
+    dealt = dealt.withColumn("_own", own).withColumn("_pair", F.explode(pair)).select("key", "_pair", "line", "fp", "norm")
+
+    ordered = dealt.select("key", "_pair.p", "_pair.q", "line", "fp", "norm").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fine = [similar(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
+        """One bucket after the other; a bucket may run on into the next batch."""
+        at, fps, lines, norms, out = None, [], [], [], []
 
-    return pairs.select("a", "b", "a_norm", "b_norm").mapInArrow(run, "a binary, b binary")
+        def rows() -> pa.RecordBatch:
+            a, b = zip(*out) if out else ((), ())
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            for *key, line, fp, norm in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != at:
+                    if len(fps) > 1:
+                        out += bucket_links(np.array(fps, np.int64), lines, norms, similarity)
+                    at, fps, lines, norms = key, [], [], []
+                fps.append(fp)
+                lines.append(line)
+                norms.append(norm)
+            yield rows()
+        if len(fps) > 1:
+            out += bucket_links(np.array(fps, np.int64), lines, norms, similarity)
+        yield rows()
+
+    return ordered.mapInArrow(run, "a binary, b binary")
 
 
 def repeated_lines(
@@ -190,24 +278,13 @@ def repeated_lines(
     )
     distinct = table(distinct)
 
-    groups = distinct.groupBy("fp").agg(F.count("*").alias("lines"))
-    pairs = close_fingerprints(groups.select("fp"))
-    alone = groups.where("lines > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    pairs = table(pairs.union(alone))
-    by_fp = distinct.select("fp", "line")
-    linked = (
-        pairs.join(by_fp.select(F.col("fp").alias("a"), F.col("line").alias("a_line")), "a")
-        .join(by_fp.select(F.col("fp").alias("b"), F.col("line").alias("b_line")), "b")
-        .where((F.col("a") < F.col("b")) | (F.col("a_line") < F.col("b_line")))
-    )
-    linked = table(linked.select(F.col("a_line").alias("a"), F.col("b_line").alias("b")))
-    ends = linked.select(F.col("a").alias("line")).union(linked.select(F.col("b").alias("line"))).distinct()
-    wanted = table(distinct.join(ends, "line").select("line", "first.doc", "first.text_key", "first.start", "first.end"))
-    texts = table(_texts(df, wanted, id_col, text_col))
-    with_text = linked.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("a_norm")), "a").join(
-        texts.select(F.col("line").alias("b"), F.col("norm").alias("b_norm")), "b"
-    )
-    labels = connected_components(_verified(with_text, similarity))
+    groups = table(distinct.groupBy("fp").agg(F.count("*").alias("lines")))
+    posted = suspects(groups).join(distinct.select("fp", "line", "first"), "fp")
+    posted = table(posted.select("key", "line", "fp", "first.doc", "first.text_key", "first.start", "first.end"))
+    wanted = posted.select("line", "doc", "text_key", "start", "end").distinct()
+    texts = table(_texts(df, table(wanted), id_col, text_col))
+    entries = table(posted.select("key", "line", "fp").join(texts, "line"))
+    labels = connected_components(_links(entries, similarity).distinct())
     named = distinct.join(labels, F.col("line") == F.col("node"), "left").select(
         "line", "first", "n", F.coalesce("component", "line").alias("label")
     )
