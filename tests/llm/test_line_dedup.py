@@ -43,7 +43,7 @@ def brute(rows, min_words=L.MIN_WORDS):
         for line in text.split("\n"):
             w = L.normalise(line)
             if len(w) >= min_words:
-                found.append(((doc is None, doc or 0, start), doc, start, " ".join(w), L.fingerprints(L.features(w), [len(w)])[0]))
+                found.append(((doc is None, doc or 0, start), doc, start, b" ".join(w).decode(), L.fingerprints(L.features(w), [len(w)])[0]))
             start += len(line) + 1
     parent = list(range(len(found)))
 
