@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,10 +27,36 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def map_arrow(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
-) -> DataFrame:
-    """``fn`` for each Arrow batch of ``df``; memory is bounded by one batch."""
+#: Rows of an Arrow batch, unless the session asks for another number: texts may be long.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _trim() -> None:
+    """Give memory that a task no longer needs back to the system; the worker process lives on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded size, whose memory is returned after each task."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, "10000") == "10000":
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``fn`` for each Arrow batch of ``df``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -36,7 +65,7 @@ def map_arrow(
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return arrow(df, run, schema)
 
 
 class Members:

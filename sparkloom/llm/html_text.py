@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import arrow
 from sparkloom.storage import table
 
 SHARE, MIN_PAGES = 0.5, 8
@@ -267,7 +268,7 @@ def subtree_hashes(source: DataFrame) -> DataFrame:
                 [pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["page_key", "host", "hash"]
             )
 
-    return keyed.mapInArrow(run, "page_key long, host string, hash long")
+    return arrow(keyed, run, "page_key long, host string, hash long")
 
 
 def recurring_subtrees(hashes: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -309,4 +310,4 @@ def main_text(
             arrays = [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return arrow(rows, run, f"page_id {kind}, url string, text string, n_chars long")

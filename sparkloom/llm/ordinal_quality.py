@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import arrow
+
 MAX_ROWS = 10_000
 BUCKETS = 1 << 18
 GRADES = 3
@@ -168,7 +170,7 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
             arrays = [batch.column(0), pa.array(np.round(grades, 6)), pa.array(np.round(tails, 6))]
             yield pa.RecordBatch.from_arrays(arrays, names=["_id", "expected_grade", "tail_probability"])
 
-    scored = source.mapInArrow(run, f"_id {kind}, expected_grade double, tail_probability double")
+    scored = arrow(source, run, f"_id {kind}, expected_grade double, tail_probability double")
     return scored.select(
         F.col("_id").alias(id_col), "expected_grade", "tail_probability", (F.col("tail_probability") >= SELECT_AT).alias("selected")
     )

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import arrow
 from sparkloom.storage import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -334,7 +335,7 @@ def _chunks(giants: DataFrame, size: int, margin: int) -> DataFrame:
 
     names = ["doc", "text_key", "no", "last", "at", "left", "right", "piece"]
     kinds = pa.schema(zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()]))
-    return giants.mapInArrow(run, "doc long, text_key long, no long, last boolean, at long, left long, right long, piece string")
+    return arrow(giants, run, "doc long, text_key long, no long, last boolean, at long, left long, right long, piece string")
 
 
 _MATRIX = "doc long, text_key long, no long, m array<array<long>>"
@@ -355,7 +356,7 @@ def _encode_giants(giants: DataFrame, model, size: int, fan: int) -> DataFrame:
                     names=["doc", "text_key", "no", "m"],
                 )
 
-    levels = [table(chunks.mapInArrow(matrices, _MATRIX))]
+    levels = [table(arrow(chunks, matrices, _MATRIX))]
     group = ["doc", "text_key", (F.floor(F.col("no") / fan)).cast("long").alias("up")]
 
     def combine(key, pdf):
@@ -409,7 +410,7 @@ def _encode_giants(giants: DataFrame, model, size: int, fan: int) -> DataFrame:
                     names=["doc", "text_key", "no", "ids"],
                 )
 
-    traced = placed.mapInArrow(backtrace, "doc long, text_key long, no long, ids array<int>")
+    traced = arrow(placed, backtrace, "doc long, text_key long, no long, ids array<int>")
     ordered = traced.groupBy("doc", "text_key").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
     return ordered.select("doc", "text_key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
@@ -435,7 +436,7 @@ def encode(
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(fine)], names=["_id", "ids", "round_trip"])
 
-    small = source.where(~giant).mapInArrow(run, f"_id {kind}, ids array<int>, round_trip boolean")
+    small = arrow(source.where(~giant), run, f"_id {kind}, ids array<int>, round_trip boolean")
     rows = source.where(giant).select("_id", F.col("_id").cast("long").alias("doc"), F.xxhash64("_text").alias("text_key"), "_text")
     rows = table(rows)
     parts = [small]
@@ -450,7 +451,7 @@ def encode(
 
         have = done.withColumnRenamed("doc", "_doc").withColumnRenamed("text_key", "_key")
         joined = rows.join(have, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))).select("_id", "ids", "_text")
-        parts.append(joined.mapInArrow(check, f"_id {kind}, ids array<int>, round_trip boolean"))
+        parts.append(arrow(joined, check, f"_id {kind}, ids array<int>, round_trip boolean"))
     found = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
     return found.select(F.col("_id").alias(id_col), "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
@@ -471,4 +472,4 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "text", model_path: s
             yield pa.RecordBatch.from_arrays(kept, names=names)
 
     schema[out].nullable = True
-    return df.mapInArrow(run, schema)
+    return arrow(df, run, schema)

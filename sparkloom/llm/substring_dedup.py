@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import arrow
 from sparkloom.llm.text_units import cut, document_keys, in_order
 from sparkloom.storage import table
 
@@ -69,7 +70,7 @@ def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc", "text_key", "start", "end", "digest"]
                 )
 
-    found = table(source.mapInArrow(run, "doc long, text_key long, start int, end int, digest binary"))
+    found = table(arrow(source, run, "doc long, text_key long, start int, end int, digest binary"))
     firsts = found.groupBy("digest").agg(F.min(in_order("start", "text_key")).alias("first"), F.count("*").alias("n"))
     firsts = table(firsts.where("n > 1").select("digest", "first"))
     same = (F.col("doc").eqNullSafe(F.col("first.doc"))) & (F.col("start") == F.col("first.start")) & (F.col("text_key") == F.col("first.text_key"))

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import arrow
+
 
 def document_keys(id_col: str, text_col: str) -> list[Column]:
     """What identifies a row: its doc_id and a hash of its text.
@@ -45,7 +47,7 @@ def cut(df: DataFrame, removed: DataFrame, id_col: str, text_col: str, out: str
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(run, schema)
+    return arrow(joined, run, schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

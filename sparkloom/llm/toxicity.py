@@ -34,6 +34,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import arrow
+
 MAX_TOXIC, MAX_ORDINARY = 4000, 6000
 THRESHOLD = 0.3
 LIFT, MIN_CONTEXTS = 8.0, 4
@@ -62,12 +64,23 @@ def _spread(window: bytes, table: np.ndarray) -> bytes:
 
 
 def _contexts(texts: Iterable[str | None]) -> Counter:
-    """Words by the number of distinct (word before, word after) they stand between."""
-    seen = set()
+    """Words by the number of distinct (word before, word after) they stand between.
+
+    Kept as numbers: a word's place in a list, and a 64-bit hash of the three places.
+    """
+    places: dict[bytes, int] = {b"": 0}
+    found = [np.zeros((0, 2), np.uint64)]
     for text in texts:
-        w = [b"", *(x for x in (x.strip(_MARKS) for x in _words(text)) if x), b""]
-        seen.update(zip(w, w[1:], w[2:]))
-    return Counter(x[1] for x in seen)
+        stripped = (x.strip(_MARKS) for x in _words(text))
+        w = np.array([0, *(places.setdefault(x, len(places)) for x in stripped if x), 0], np.uint64)
+        if len(w) > 2:
+            mixed = w[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ w[2:] * np.uint64(0xC2B2AE3D27D4EB4F)
+            code = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x165667B19E3779F9) + w[1:-1] * np.uint64(0xD6E8FEB86659FD93)
+            found.append(np.column_stack([w[1:-1], code]))
+    every = np.concatenate(found)
+    _, first = np.unique(every[:, 1], return_index=True)
+    counts = np.bincount(every[first, 0].astype(np.int64), minlength=len(places))
+    return Counter({x: int(counts[i]) for x, i in places.items() if counts[i]})
 
 
 def _dictionary(counts: list[tuple[bytes, int]], size: int, table: np.ndarray) -> bytes:
@@ -197,7 +210,7 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
                 scores = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["_id", "score"])
 
-    scored = source.mapInArrow(run, f"_id {kind}, score double")
+    scored = arrow(source, run, f"_id {kind}, score double")
     return scored.select(
         F.col("_id").alias(id_col),
         F.coalesce(F.crc32(F.col("_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
@@ -227,4 +240,4 @@ def without_toxic(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col
                 fine = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))) < THRESHOLD
             yield batch.filter(pa.array(fine))
 
-    return docs.mapInArrow(run, schema)
+    return arrow(docs, run, schema)
