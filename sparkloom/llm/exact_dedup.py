@@ -57,7 +57,10 @@ def exact_dedup(
         .agg(F.min("_id").alias("_keep"), F.count("*").alias("_size"))
         .where("_size > 1")
     )
-    out = hashed.join(groups, "_full", "left")
+    # written, so that the join's sides are both plain exchanges and a group of copies can be split;
+    # documents told apart before the last round have no key and stay out of it
+    sure = hashed.where("_full is null").withColumn("_keep", F.col("_id")).withColumn("_size", F.lit(1).cast("long"))
+    out = hashed.where("_full is not null").join(table(groups), "_full", "left").unionByName(sure)
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return out.select(
         F.col("_id").alias(id_col),
