@@ -175,7 +175,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "text", "removed")
+    return found.select("doc_id", "text", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed")
 
 
 @query
@@ -191,4 +191,5 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordinal_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    found = ordinal_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("selected", "kept")
