@@ -15,7 +15,7 @@ from sparkloom.operators.chunking import chunk_documents
 from sparkloom.operators.embedding import build_embedder
 from sparkloom.operators.ontology import Ontology
 from sparkloom.operators.ranking import BM25, check_aligned
-from sparkloom.plans import answers, generate, kg, lint, pages, planner, rag, wiki, wikigen
+from sparkloom.plans import answers, compiler, generate, kg, lint, pages, planner, rag, wiki
 from sparkloom.sources.config import journal
 
 
@@ -77,7 +77,7 @@ class Lab:
 
     def build_wiki(self, updated: str) -> BuildStats:
         began = time.perf_counter()
-        made = self._store(wikigen.compile_pages(self.corpus, self._load("triples"), self.ontology, updated), "pages")
+        made = self._store(compiler.compile_pages(self.corpus, self._load("triples"), self.ontology, updated), "pages")
         self._store(pages.catalogue(made), "catalogue")
         n = made.count()
         journal(self.spark, self.folder, f"COMPILE {n} pages from {self.corpus.count()} documents")

@@ -12,7 +12,7 @@ from sparkloom.functions.vectors import norm
 from sparkloom.operators import chunking, embedding, extraction, ranking
 from sparkloom.operators import graph as G
 from sparkloom.operators.ontology import Ontology, Relation, mentions
-from sparkloom.plans import answers, kg, lint, pages, planner, rag, star, wiki, wikigen
+from sparkloom.plans import answers, compiler, kg, lint, pages, planner, rag, star, wiki
 from sparkloom.plans.generate import prompt
 from sparkloom.session import read_table
 from sparkloom.sources.corpus import corpus_from_table
@@ -343,7 +343,7 @@ _COUNTS = f"""mc AS (SELECT m.name AS entity, doc_id, title, count(*) AS n FROM
 
 @query(f"WITH {_COUNTS} SELECT entity, CAST(doc_id AS VARCHAR) AS doc_id, n FROM mc")
 def mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wikigen.mention_counts(_corpus(spark, sf_dir), WORDS).select("entity", "doc_id", "n")
+    return compiler.mention_counts(_corpus(spark, sf_dir), WORDS).select("entity", "doc_id", "n")
 
 
 @query(
@@ -351,7 +351,7 @@ def mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM mc GROUP BY entity"""
 )
 def source_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wikigen.primary_sources(wikigen.mention_counts(_corpus(spark, sf_dir), WORDS))
+    return compiler.primary_sources(compiler.mention_counts(_corpus(spark, sf_dir), WORDS))
 
 
 _SLOT = f"(?:^|[^A-Za-z0-9])(?:[Tt]he  )?({_FORMS})"
@@ -391,14 +391,14 @@ def orphan_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def linkify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _corpus(spark, sf_dir).select("doc_id", wikigen.linkify(F.col("body"), WORDS, F.lit("the")).alias("linked"))
+    return _corpus(spark, sf_dir).select("doc_id", compiler.linkify(F.col("body"), WORDS, F.lit("the")).alias("linked"))
 
 
 @query()
 def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _corpus(spark, sf_dir)
     edges = table(G.build_edges(extraction.extract_triples(corpus, WORDS)))
-    made = wikigen.entity_pages(corpus, edges, WORDS, "2020-01-01")
+    made = compiler.entity_pages(corpus, edges, WORDS, "2020-01-01")
     return made.select("title", F.md5(pages.render()).alias("page_md5"), F.size("sources").alias("n_sources"))
 
 
@@ -571,7 +571,6 @@ ASKED = [
     "",
 ]
 _ASKED = ", ".join(f"({i}, '{q}')" for i, q in enumerate(ASKED))
-_PLACES = "[" + ", ".join(f"'{x}'" for x in ("region", "nation")) + "]"
 _TYPE_CASE = "[" + ", ".join(f"CASE WHEN list_contains(w, '{t.lower()}') OR list_contains(w, '{t.lower()}s') THEN '{t}' END" for t in star.TYPES) + "]"
 _NEXT = " ".join(f"WHEN x IN ('{t.lower()}', '{t.lower()}s') THEN '{t}'" for t in star.TYPES) + " WHEN x = 'people' THEN 'Person'"
 _CUES = "[" + ", ".join(
@@ -688,9 +687,6 @@ def wiki_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wiki.answer(*_wiki(spark, sf_dir)).select("q_id", "answer", "citations", "tokens_est", "confident", "note")
 
 
-_FIND = "'{0}' AS \"check\", '{1}' AS severity"
-
-
 def _lint_sql(check: str, subject: str, detail: str, rest: str) -> str:
     return f"SELECT '{check}' AS \"check\", '{lint.SEVERITY[check]}' AS severity, {subject} AS subject, {detail} AS detail {rest}"
 

@@ -5,7 +5,7 @@ import pytest
 from sparkloom.operators import extraction as X
 from sparkloom.operators import graph as G
 from sparkloom.operators.ontology import Ontology
-from sparkloom.plans import answers, generate, kg, lint, pages, planner, wiki, wikigen
+from sparkloom.plans import answers, compiler, generate, kg, lint, pages, planner, wiki
 from sparkloom.storage import table
 
 ONTOLOGY = """
@@ -155,7 +155,7 @@ def test_envelope_needs_a_note(spark, plans, nodes, edges, ontology):
 
 @pytest.fixture(scope="module")
 def made(corpus, triples, ontology):
-    return table(wikigen.compile_pages(corpus, triples, ontology, "2024-06-01"))
+    return table(compiler.compile_pages(corpus, triples, ontology, "2024-06-01"))
 
 
 def test_pages(made):
