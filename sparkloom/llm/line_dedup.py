@@ -21,7 +21,6 @@ lines; a null doc_id ranks last; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Members
+from sparkloom.llm.common import Members, arrow
 from sparkloom.llm.text_units import cut, document_keys, in_order
 from sparkloom.operators.components import connected_components
 from sparkloom.storage import table
@@ -45,35 +44,36 @@ PAIRS = ((0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5))
 _HELD = 100_000
 #: Lines of one bucket that a task compares; larger buckets are dealt out as pairs of parts.
 _PART = 20_000
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u2026"
-_DIGIT = re.compile(r"\d")
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_DIGITS = bytes.maketrans(b"123456789", b"000000000")
 
 
-def flatten(text: str) -> str:
-    """Lower case, digits as 0; line breaks stay where they are in number."""
-    return _DIGIT.sub("0", text.lower())
+def flatten(text: str) -> bytes:
+    """Lower case, digits as 0, in UTF-8; line breaks stay where they are in number."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_DIGITS)
 
 
-def bare(words: list[str]) -> list[str]:
+def bare(words: list[bytes]) -> list[bytes]:
     """Words without punctuation at their ends, those of nothing else left out."""
     return [x for x in [w.strip(_MARKS) for w in words] if x]
 
 
-def normalise(line: str) -> list[str]:
-    """Words of the normalised line."""
+def normalise(line: str) -> list[bytes]:
+    """Words of the normalised line, in UTF-8."""
     return bare(flatten(line).split())
 
 
-def features(words: list[str]) -> list[int]:
+def features(words: list[bytes]) -> list[int]:
     """A hash of each word, seeded by how often it came before."""
     out = list(map(xxhash.xxh64_intdigest, words))
     if len(set(words)) < len(words):
-        seen: dict[str, int] = {}
+        seen: dict[bytes, int] = {}
         for k, w in enumerate(words):
-            n = seen.get(w, 0)
-            seen[w] = n + 1
-            if n:
-                out[k] = xxhash.xxh64_intdigest(w, n)
+            if w in seen:
+                seen[w] += 1
+                out[k] = xxhash.xxh64_intdigest(w, seen[w])
+            else:
+                seen[w] = 0
     return out
 
 
@@ -144,11 +144,11 @@ def _lines(source: DataFrame, min_words: int) -> DataFrame:
             for row in range(batch.num_rows):
                 doc, key, text = (c[row].as_py() for c in batch.columns)
                 start, text = 0, text or ""
-                for line, flat in zip(text.split("\n"), flatten(text).split("\n")):
+                for line, flat in zip(text.split("\n"), flatten(text).split(b"\n")):
                     end = start + len(line)
                     words = bare(flat.split())
                     if len(words) >= min_words:
-                        digest = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+                        digest = xxhash.xxh3_128_digest(b" ".join(words))
                         if digest not in at:
                             at[digest] = len(sizes)
                             hashes += features(words)
@@ -161,7 +161,7 @@ def _lines(source: DataFrame, min_words: int) -> DataFrame:
         if rows:
             yield found()
 
-    return source.mapInArrow(run, "doc long, text_key long, start int, end int, line binary, fp long")
+    return arrow(source, run, "doc long, text_key long, start int, end int, line binary, fp long")
 
 
 def _block(fp: Column, k: int) -> Column:
@@ -200,10 +200,10 @@ def _texts(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            norm = pa.array([" ".join(normalise(t)) for t in batch.column(1).to_pylist()], pa.string())
+            norm = pa.array([b" ".join(normalise(t)).decode("utf-8", "replace") for t in batch.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), norm], names=["line", "norm"])
 
-    return cutout.mapInArrow(run, "line binary, norm string")
+    return arrow(cutout, run, "line binary, norm string")
 
 
 def bucket_links(fps: np.ndarray, lines: list[bytes], norms: list[str], similarity: float, distance: int = DISTANCE) -> list[tuple[bytes, bytes]]:
@@ -264,7 +264,7 @@ def _links(entries: DataFrame, similarity: float) -> DataFrame:
             out += bucket_links(np.array(fps, np.int64), lines, norms, similarity)
         yield rows()
 
-    return ordered.mapInArrow(run, "a binary, b binary")
+    return arrow(ordered, run, "a binary, b binary")
 
 
 def repeated_lines(
