@@ -30,7 +30,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_dedup(docs).drop("removed")
+    cut = line_dedup(docs, candidates="words").drop("removed")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

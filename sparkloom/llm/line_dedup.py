@@ -5,7 +5,11 @@ collapse by digest. Each distinct line gets a SimHash over its words, a repeated
 as another feature each time. Lines whose fingerprints differ in at most three bits are found by
 pigeonhole: of six blocks at least three are equal, and since the blocks form two
 groups of three, two of the equal ones share a group; so a semi join on each of the six pairs within a group finds every
-line that has a partner. The lines under one key are then compared in one task (large keys in several), where
+line that has a partner. That gate is far tighter than the edit similarity. With ``candidates="words"``, as the query and
+the pipeline run, lines meet instead under keys of their words: short lines under what is left
+without one or two words, others under minhashes of three-word shingles, and ``WIDE`` bits only
+save verifications. Lines whose edits fall into most of their words can still miss each other.
+The lines under one key are then compared in one task (large keys in several), where
 those within the full distance are verified by edit similarity of the normalised lines, at least
 ``SIMILARITY``, unless already connected: no link that would connect more is lost, and a group of near copies
 yields one link a line. Of each connected group of lines the occurrence first in
@@ -37,6 +41,9 @@ from sparkloom.storage import table
 SIMILARITY = 0.8
 DISTANCE = 3
 MIN_WORDS = 3
+#: Words candidates: lines of up to ``SHORT`` words meet under what is left without one or two of their words; lines
+#: of ``LONG`` words or more under ``ROUNDS`` minhashes of three-word shingles, within ``WIDE`` bits.
+SHORT, LONG, ROUNDS, WIDE = 9, 8, 12, 22
 #: Six blocks as (first bit, width), and the pairs within each group of three.
 BLOCKS = ((0, 11), (11, 11), (22, 10), (32, 11), (43, 11), (54, 10))
 PAIRS = ((0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5))
@@ -85,6 +92,45 @@ def fingerprints(hashes: list[int], sizes: list[int]) -> np.ndarray:
     return np.packbits(2 * ones > np.array(sizes)[:, None], axis=1, bitorder="little").view(np.uint64).ravel().view(np.int64)
 
 
+_ODD = np.random.default_rng(7).integers(1 << 62, size=ROUNDS + 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def short_keys(hashes: list[int]) -> list[int]:
+    """Keys of the bags of words left without one word, and without two: odd numbers of 32 bits."""
+    n, total = len(hashes), sum(hashes)
+    left = [total - h for h in hashes]
+    if n > 3:
+        left += [left[i] - hashes[j] for i in range(n) for j in range(i)]
+    return list({(((x * 0x9E3779B97F4A7C15) >> 32) & 0xFFFFFFFF | 1) - (1 << 31) for x in left})
+
+
+def word_keys(hashes: list[int], sizes: list[int]) -> list[list[int]]:
+    """Keys of consecutive runs of plain word hashes under which near-equal lines meet.
+
+    The key is odd for short lines, where any partner is verified, and even for longer ones.
+    """
+    ends, counts = np.cumsum(sizes), np.array(sizes)
+    out = [short_keys(hashes[e - n : e]) if n <= SHORT else [] for e, n in zip(ends.tolist(), sizes)]
+    h = np.array(hashes, np.uint64) * _ODD[0]
+    if len(h) < 3 or not (counts >= LONG).any():
+        return out
+    h ^= h >> np.uint64(29)
+    shingles = h[:-2] * _ODD[0] + h[1:-1] * _ODD[1] + h[2:] * _ODD[2]
+    shingles ^= shingles >> np.uint64(31)
+    long = np.flatnonzero(counts >= LONG)
+    edges = np.stack([ends[long] - counts[long], ends[long] - 2], axis=1).ravel()  # shingles across two lines fall between
+    edges = edges[:-1] if edges[-1] >= len(shingles) else edges
+    least = np.empty((len(long), ROUNDS), np.uint64)
+    for k in range(ROUNDS):
+        mixed = shingles * _ODD[3 + k]
+        mixed ^= mixed >> np.uint64(32)
+        least[:, k] = np.minimum.reduceat(mixed, edges)[::2]
+    least = ((least * _ODD[:ROUNDS] >> np.uint64(32)) & np.uint64(0xFFFFFFFE)).astype(np.int64) - (1 << 31)
+    for i, keys in zip(long.tolist(), least.tolist()):
+        out[i] += set(keys)
+    return out
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance, or ``most + 1`` if it is larger (Myers' bit-parallel rows)."""
     if abs(len(a) - len(b)) > most:
@@ -125,18 +171,20 @@ def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def _lines(source: DataFrame, min_words: int) -> DataFrame:
-    """``doc, text_key, start, end, line, fp`` for each line of enough words."""
+def _lines(source: DataFrame, min_words: int, by_words: bool = False) -> DataFrame:
+    """``doc, text_key, start, end, line, fp`` for each line of enough words; ``keys`` also if ``by_words``."""
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    names = ["doc", "text_key", "start", "end", "line", "fp"]
+    names = ["doc", "text_key", "start", "end", "line", "fp", *(["keys"] if by_words else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, at, hashes, sizes, which = [], {}, [], [], []
+        rows, at, hashes, plain, sizes, which = [], {}, [], [], [], []
 
         def found() -> pa.RecordBatch:
             fps = fingerprints(hashes, sizes)[which]
             arrays = [*(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), pa.array(fps)]
-            for held in (rows, at, hashes, sizes, which):
+            if by_words:
+                arrays.append(pa.array(word_keys(plain, sizes), pa.list_(pa.int32())).take(pa.array(which)))
+            for held in (rows, at, hashes, plain, sizes, which):
                 held.clear()
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -152,6 +200,8 @@ def _lines(source: DataFrame, min_words: int) -> DataFrame:
                         if digest not in at:
                             at[digest] = len(sizes)
                             hashes += features(words)
+                            if by_words:
+                                plain += map(xxhash.xxh64_intdigest, words)
                             sizes.append(len(words))
                         rows.append((doc, key, start, end, digest))
                         which.append(at[digest])
@@ -161,7 +211,7 @@ def _lines(source: DataFrame, min_words: int) -> DataFrame:
         if rows:
             yield found()
 
-    return arrow(source, run, "doc long, text_key long, start int, end int, line binary, fp long")
+    return arrow(source, run, "doc long, text_key long, start int, end int, line binary, fp long" + ", keys array<int>" * by_words)
 
 
 def _block(fp: Column, k: int) -> Column:
@@ -189,6 +239,17 @@ def suspects(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return found.union(several).distinct()
 
 
+def word_suspects(lines: DataFrame) -> DataFrame:
+    """``line, fp, key``: postings of ``lines(line, fp, keys)`` that share their key with another line.
+
+    Partners under even keys lie within ``WIDE`` bits, under odd ones at any distance.
+    """
+    posted = lines.select("line", "fp", F.explode("keys").alias("key"))
+    other = posted.select(F.col("line").alias("b"), F.col("fp").alias("_fp"), F.col("key").alias("_key"))
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("_fp"))) <= WIDE) | (F.col("key").bitwiseAND(F.lit(1)) == 1)
+    return posted.join(other, (F.col("key") == F.col("_key")) & near & (F.col("line") != F.col("b")), "left_semi")
+
+
 def _texts(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``line, norm`` for the lines whose first occurrence is in ``wanted(line, doc, text_key, start, end)``."""
     docs = df.select(*document_keys(id_col, text_col), F.col(text_col).cast("string").alias("_text"))
@@ -231,7 +292,7 @@ def bucket_links(fps: np.ndarray, lines: list[bytes], norms: list[str], similari
     return out
 
 
-def _links(entries: DataFrame, similarity: float) -> DataFrame:
+def _links(entries: DataFrame, similarity: float, by_words: bool = False) -> DataFrame:
     """Links ``(a, b)`` between lines of ``entries(key, line, fp, norm)`` that share a key."""
     sizes = entries.groupBy("key").agg(F.ceil(F.count("*") / _PART).cast("int").alias("parts"))
     dealt = entries.join(sizes, "key")
@@ -245,6 +306,10 @@ def _links(entries: DataFrame, similarity: float) -> DataFrame:
         """One bucket after the other; a bucket may run on into the next batch."""
         at, fps, lines, norms, out = None, [], [], [], []
 
+        def linked() -> list[tuple[bytes, bytes]]:
+            most = DISTANCE if not by_words else 64 if at[0] & 1 else WIDE
+            return bucket_links(np.array(fps, np.int64), lines, norms, similarity, most)
+
         def rows() -> pa.RecordBatch:
             a, b = zip(*out) if out else ((), ())
             out.clear()
@@ -254,37 +319,42 @@ def _links(entries: DataFrame, similarity: float) -> DataFrame:
             for *key, line, fp, norm in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != at:
                     if len(fps) > 1:
-                        out += bucket_links(np.array(fps, np.int64), lines, norms, similarity)
+                        out += linked()
                     at, fps, lines, norms = key, [], [], []
                 fps.append(fp)
                 lines.append(line)
                 norms.append(norm)
             yield rows()
         if len(fps) > 1:
-            out += bucket_links(np.array(fps, np.int64), lines, norms, similarity)
+            out += linked()
         yield rows()
 
     return arrow(ordered, run, "a binary, b binary")
 
 
 def repeated_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY
-) -> DataFrame:
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
+    candidates: str = "fingerprint",
+) -> DataFrame:
     """Each line that is not the first of its group: ``doc, text_key, start, end, first_doc, first_start``."""
+    if candidates not in ("fingerprint", "words"):
+        raise ValueError(f"unknown candidates {candidates!r}; known: fingerprint, words")
+    by_words = candidates == "words"
     source = df.select(*document_keys(id_col, text_col), F.col(text_col).cast("string").alias("_text"))
-    lines = table(_lines(source, min_words))
-    distinct = lines.groupBy("line").agg(
-        F.first("fp").alias("fp"), F.min(in_order("start", "text_key", "end")).alias("first"), F.count("*").alias("n")
-    )
-    distinct = table(distinct)
-
-    groups = table(distinct.groupBy("fp").agg(F.count("*").alias("lines")))
-    posted = suspects(groups).join(distinct.select("fp", "line", "first"), "fp")
+    lines = table(_lines(source, min_words, by_words))
+    kept = [F.first(c).alias(c) for c in ("fp", *(["keys"] if by_words else []))]
+    distinct = table(lines.groupBy("line").agg(*kept, F.min(in_order("start", "text_key", "end")).alias("first"), F.count("*").alias("n")))
+
+    if by_words:
+        posted = table(word_suspects(distinct)).join(distinct.select("line", "first"), "line")
+    else:
+        groups = table(distinct.groupBy("fp").agg(F.count("*").alias("lines")))
+        posted = suspects(groups).join(distinct.select("fp", "line", "first"), "fp")
     posted = table(posted.select("key", "line", "fp", "first.doc", "first.text_key", "first.start", "first.end"))
     wanted = posted.select("line", "doc", "text_key", "start", "end").distinct()
     texts = table(_texts(df, table(wanted), id_col, text_col))
     entries = table(posted.select("key", "line", "fp").join(texts, "line"))
-    labels = connected_components(_links(entries, similarity).distinct())
+    labels = connected_components(_links(entries, similarity, by_words).distinct())
     named = distinct.join(labels, F.col("line") == F.col("node"), "left").select(
         "line", "first", "n", F.coalesce("component", "line").alias("label")
     )
@@ -297,7 +367,8 @@ def repeated_lines(
 
 
 def line_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY
-) -> DataFrame:
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
+    candidates: str = "fingerprint",
+) -> DataFrame:
     """``df`` with one occurrence of each group of lines, and ``removed``: the spans cut from the original."""
-    return cut(df, repeated_lines(df, id_col, text_col, min_words, similarity), id_col, text_col)
+    return cut(df, repeated_lines(df, id_col, text_col, min_words, similarity, candidates), id_col, text_col)

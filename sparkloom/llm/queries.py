@@ -180,7 +180,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup(read_table(spark, sf_dir, "documents"))
+    found = line_dedup(read_table(spark, sf_dir, "documents"), candidates="words")
     return found.select("doc_id", "text", "removed")
 
 

@@ -119,3 +119,39 @@ def test_without():
 
 def test_empty_table(spark):
     assert L.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def edited_lines():
+    """Lines of 4 to 120 words, and each again with up to a tenth of its words changed, one at least."""
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    pairs = []
+    for n in [4, 5, 7, 8, 9, 10, 12, 15, 20, 25, 30, 50, 80, 120] * 4:
+        words = [rng.choice(vocab) for _ in range(n)]
+        other = list(words)
+        for k in rng.sample(range(n), max(1, n // 10)):
+            other[k] = rng.choice(vocab)
+        pairs.append((" ".join(words), " ".join(other)))
+    return pairs
+
+
+def test_word_candidates_find_what_edit_similarity_alone_finds(spark):
+    pairs = edited_lines()
+    rows = [(i + 1000 * k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    similar = {(i, j) for i, (_, a) in enumerate(rows) for j, (_, b) in enumerate(rows[:i]) if L.similar(a, b)}
+    want = {rows[i][0] for i, _ in similar}
+    assert len(want) > 40 and all(rows[i][0] - rows[j][0] == 1000 for i, j in similar)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda **more: {r.doc_id for r in L.line_dedup(df, **more).collect() if r.removed}
+    got = found(candidates="words")
+    assert got <= want and len(got) >= 0.98 * len(want)
+    with pytest.raises(ValueError, match="unknown candidates"):
+        L.line_dedup(df, candidates="page")
+
+
+def test_query_links_lines_beyond_three_bits(spark, tmp_path):
+    from sparkloom.llm.queries import QUERIES
+
+    a = "the quick brown fox jumps over the lazy dog near the old river bank"
+    spark.createDataFrame([(1, a), (2, a.replace("lazy", "tame"))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()} == {1: a, 2: ""}
