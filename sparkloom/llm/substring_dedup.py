@@ -1,7 +1,9 @@
 """Substring deduplication by line hashing.
 
-Units are lines, or paragraphs between blank lines, of at least ``min_words`` words, normalised
-to lower case with single spaces. Digests are grouped over all documents; the occurrence first in order
+Units are lines, paragraphs between blank lines, or both, of at least ``min_words`` words (all that are
+not blank unless asked otherwise), normalised to lower case with single spaces. With both, a paragraph is a run
+of two or more lines with words, so that a passage wrapped otherwise is found too; lines
+inside a removed paragraph are part of its span. Digests are grouped over all documents; the occurrence first in order
 of doc_id and offset stays, the others are removed, and each removal keeps the
 original code point offsets. Only digests, ids and offsets are shuffled until the last join;
 a digest's first occurrence is a minimum combined map-side, so a line shared by a third of
@@ -27,7 +29,7 @@ from sparkloom.llm.common import arrow
 from sparkloom.llm.text_units import cut, document_keys, in_order
 from sparkloom.storage import table
 
-MIN_WORDS = 10
+MIN_WORDS = 1
 _BREAK = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
 
 
@@ -42,7 +44,6 @@ def spans_of(text: str | None, unit: str) -> Iterator[tuple[int, int]]:
     yield start, len(text)
 
 
-
 def long_units(text: str | None, unit: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
     """Start, end and digest of each unit of at least ``min_words`` words."""
     for start, end in spans_of(text, unit):
@@ -51,10 +52,32 @@ def long_units(text: str | None, unit: str, min_words: int) -> Iterator[tuple[in
             yield start, end, xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
+def paragraphs_of_lines(text: str) -> Iterator[tuple[int, int]]:
+    """Whole lines, from the first to the last, of each run of two or more lines with words."""
+    first, last, lines = 0, 0, 0
+    for start, end in spans_of(text, "line"):
+        if text[start:end].strip():
+            first, last, lines = first if lines else start, end, lines + 1
+        else:
+            if lines > 1:
+                yield first, last
+            lines = 0
+    if lines > 1:
+        yield first, last
+
+
+def both_units(text: str | None, min_words: int) -> Iterator[tuple[int, int, bytes]]:
+    """Lines and paragraphs of several lines; a digest does not tell which, so a rewrapped passage is equal."""
+    yield from long_units(text, "line", min_words)
+    for start, end in paragraphs_of_lines(text or ""):
+        for _, _, digest in long_units(text[start:end].replace("\n", " "), "line", min_words):
+            yield start, end, digest
+
+
 def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """Each unit that repeats an earlier one: ``doc, text_key, start, end, first_doc, first_start``."""
-    if unit not in _BREAK:
-        raise ValueError(f"unknown unit {unit!r}; known: {', '.join(_BREAK)}")
+    if unit not in (*_BREAK, "both"):
+        raise ValueError(f"unknown unit {unit!r}; known: {', '.join(_BREAK)}, both")
     source = df.select(*document_keys(id_col, text_col), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +85,7 @@ def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = [
                 (doc, key, *found)
                 for doc, key, text in zip(*(c.to_pylist() for c in batch.columns))
-                for found in long_units(text, unit, min_words)
+                for found in (both_units(text, min_words) if unit == "both" else long_units(text, unit, min_words))
             ]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
@@ -80,4 +103,4 @@ def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with repeated units cut from the text, and ``removed``: their spans in the original."""
-    return cut(df, repeated_units(df, id_col, text_col, unit, min_words), id_col, text_col)
+    return cut(df, repeated_units(df, id_col, text_col, unit, min_words), id_col, text_col, nested=unit == "both")

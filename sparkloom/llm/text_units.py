@@ -24,11 +24,12 @@ def in_order(*columns: str) -> Column:
     return F.struct(F.col("doc").isNull().alias("unknown"), F.col("doc").alias("doc"), *(F.col(c).alias(c) for c in columns))
 
 
-def cut(df: DataFrame, removed: DataFrame, id_col: str, text_col: str, out: str = "removed") -> DataFrame:
+def cut(df: DataFrame, removed: DataFrame, id_col: str, text_col: str, out: str = "removed", nested: bool = False) -> DataFrame:
     """``df`` without the units in ``removed(doc, text_key, start, end)``.
 
     The text loses each unit and one break beside it; ``out`` gets the
-    removed spans, ascending, as code point offsets into the original text (null text: none).
+    removed spans, ascending, as code point offsets into the original text (null text: none). Where spans may be
+    ``nested``, those within another are left out.
     """
     spans = removed.groupBy("doc", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     doc, key = document_keys(id_col, text_col)
@@ -41,15 +42,29 @@ def cut(df: DataFrame, removed: DataFrame, id_col: str, text_col: str, out: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, spans = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1)
+            if nested:
+                spans = pa.array([outermost(x) for x in spans.to_pylist()], spans.type)
             for i in spans.is_valid().to_numpy(zero_copy_only=False).nonzero()[0]:
                 texts[i] = without(texts[i], [(s["start"], s["end"]) for s in spans[i].as_py()])
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
+            columns[-1] = spans
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return arrow(joined, run, schema)
 
 
+def outermost(spans: list[dict] | None) -> list[dict] | None:
+    """Ascending ``spans`` that lie in no other one; two of them overlap only if one holds the other."""
+    if spans is None:
+        return None
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+        if not out or s["end"] > out[-1]["end"]:
+            out.append(s)
+    return out
+
+
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without ascending ``spans`` of whole lines and a line break beside each."""
     kept, last = [], 0

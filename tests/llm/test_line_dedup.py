@@ -155,3 +155,14 @@ def test_query_links_lines_beyond_three_bits(spark, tmp_path):
     a = "the quick brown fox jumps over the lazy dog near the old river bank"
     spark.createDataFrame([(1, a), (2, a.replace("lazy", "tame"))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.text for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()} == {1: a, 2: ""}
+
+
+def test_query_removes_short_lines_and_rewrapped_passages(spark, tmp_path):
+    from sparkloom.llm.queries import QUERIES
+
+    rows = [(1, "read more\n\na b\nc d e\n\nown"), (2, "Read  more\n\nnew\n\na b c\nd e\n\nend"), (3, "x\na b c d e"), (4, None), (5, "q\n\na b\nc d e")]
+    spark.createDataFrame([*rows, (6, "one\ntwo"), (7, "0\n\n one\ntwo ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, [(s.start, s.end) for s in r.removed or []], r.n_removed) for r in QUERIES["op4_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert got[1] == (rows[0][1], [], 0) and got[6] == ("one\ntwo", [], 0) and got[4] == (None, [], 0)
+    assert got[2] == ("\nnew\n\n\nend", [(0, 10), (17, 26)], 2)
+    assert got[7] == ("0\n", [(3, 12)], 1)
