@@ -106,6 +106,7 @@ class Page:
         self._open: list[int] = [0]
         self._inner: list[list[bytes]] = [[]]
         self._block: list[tuple[int, str]] = []
+        self._forms: set[int] = set()
         self._parse(source)
 
     def _text(self, piece: str) -> None:
@@ -149,7 +150,10 @@ class Page:
                     break
         self.tags.append(tag)
         self.parents.append(self._open[-1])
-        self.drops.append(_dropped(tag, raw))
+        if tag == "form" and not _dropped("div", raw):
+            self._forms.add(len(self.tags) - 1)
+        nested = tag == "article" and "article" in names
+        self.drops.append(_dropped("section" if nested else tag, raw))
         self.hashes.append(0)
         self._open.append(len(self.tags) - 1)
         self._inner.append([])
@@ -193,12 +197,37 @@ class Page:
         while len(self._open) > 1:
             self._close()
         self._flush()
-        for i in range(len(self.tags) - 1, 0, -1):  # furniture does not hold the article
-            if self.tags[i] in ("article", "main"):
-                up = self.parents[i]
-                while up:
+        self._keep_main()
+
+    def _keep_main(self) -> None:
+        """Furniture does not hold the article: what is around the page's own article or main part is not dropped.
+
+        A form around one is the page's, unless named as furniture. Nothing else is to be done where one with text is in nothing dropped; where all are, the one in
+        fewest dropped elements counts, and of these the one with most text.
+        """
+        regions = [i for i in range(1, len(self.tags)) if self.tags[i] in ("article", "main")]
+        if not regions:
+            return
+        for up in {self.parents[i] for i in regions}:
+            while up:
+                if up in self._forms:
                     self.drops[up] = False
-                    up = self.parents[up]
+                up = self.parents[up]
+        inside, depth, chars = ([0] * len(self.tags) for _ in range(3))
+        for i in range(1, len(self.tags)):
+            depth[i] = depth[self.parents[i]] + self.drops[i]
+        for b in self.blocks:
+            for i, piece in b:
+                chars[i] += len(piece.strip())
+        for i in range(len(self.tags) - 1, 0, -1):
+            inside[i] += chars[i]
+            inside[self.parents[i]] += 0 if self.drops[i] else inside[i]
+        if any(depth[i] == 0 and inside[i] for i in regions):
+            return
+        up = self.parents[min(regions, key=lambda i: (not inside[i], depth[i], -inside[i], i))]
+        while up:
+            self.drops[up] = False
+            up = self.parents[up]
 
     def subtrees(self) -> set[int]:
         """Hashes of the subtrees that may be a template: blocks with text that are not the page's own body."""

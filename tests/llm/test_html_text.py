@@ -62,3 +62,17 @@ def test_counts_match_brute_force(spark, sf):
         for h in H.Page(r.html).subtrees():
             seen[host, h] = seen.get((host, h), 0) + 1
     assert got == {k for k, n in seen.items() if n >= 2 and n >= 0.05 * hosts[k[0]]}
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<article><p>a</p><section class='comments'><article class='comment'><p>no</p></article></section></article>", "a"),
+        ("<main><p>a</p></main><aside class='related'><article><p>no</p></article></aside>", "a"),
+        ("<article><p>a</p><article class='comment'><p>no</p></article><article><p>b</p></article></article>", "a b"),
+        ("<aside><article><p>short</p></article></aside><form><article><p>the story itself</p></article></form>", "the story itself"),
+        ("<main><h1>T</h1><form><article><p>story</p></article></form></main>", "story"),
+    ],
+)
+def test_nested_articles_do_not_clear_what_drops_them(source, want):
+    assert H.page_text(source) == want
