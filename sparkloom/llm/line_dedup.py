@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Members, arrow
-from sparkloom.llm.text_units import cut, document_keys, in_order
+from sparkloom.llm.text_units import REMOVED, cut, document_keys, in_order
 from sparkloom.operators.components import connected_components
 from sparkloom.storage import table
 
@@ -371,4 +371,10 @@ def line_dedup(
     candidates: str = "fingerprint",
 ) -> DataFrame:
     """``df`` with one occurrence of each group of lines, and ``removed``: the spans cut from the original."""
-    return cut(df, repeated_lines(df, id_col, text_col, min_words, similarity, candidates), id_col, text_col)
+    later = repeated_lines(df, id_col, text_col, min_words, similarity, candidates)
+    marks = later.groupBy("doc", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).cast(REMOVED).alias("marks"))
+    return cut(df, marks, id_col, text_col, _as_found)
+
+
+def _as_found(text: str, marks: list[dict]) -> list[tuple[int, int]]:
+    return [(m["start"], m["end"]) for m in marks]

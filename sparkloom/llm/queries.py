@@ -174,7 +174,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup(read_table(spark, sf_dir, "documents"), unit="both")
+    found = substring_dedup(read_table(spark, sf_dir, "documents"), unit="passage")
     return found.select("doc_id", "text", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed")
 
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import line_dedup as L
 from sparkloom.llm import substring_dedup as S
@@ -157,12 +158,106 @@ def test_query_links_lines_beyond_three_bits(spark, tmp_path):
     assert {r.doc_id: r.text for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()} == {1: a, 2: ""}
 
 
-def test_query_removes_short_lines_and_rewrapped_passages(spark, tmp_path):
+def passage_rows():
+    """Invented prose; some documents hold a passage of 55 words inside a line, most share a short notice."""
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randrange(2, 9))) for _ in range(2000)]
+
+    def prose(n):
+        out = []
+        while n > 0:
+            k = min(n, rng.randrange(3, 14))
+            out.append(" ".join(rng.choice(vocab) for _ in range(k)).capitalize() + rng.choice(".,;!?"))
+            n -= k
+        return " ".join(out)
+
+    passage, notice = prose(55), "Read the terms of use, then all of our notes on privacy before you go on."
+    rows = []
+    for i in range(60):
+        lines = [prose(rng.randrange(5, 80)) for _ in range(rng.randrange(1, 5))]
+        if i % 3:
+            lines.insert(rng.randrange(len(lines) + 1), notice)
+        if i % 7 == 3:
+            k = rng.randrange(len(lines))
+            lines[k] = f"{lines[k]} {passage.upper() if i % 2 else passage} {prose(9)}"
+        rows.append((i, "\n".join(lines)))
+    return rows, passage, notice
+
+
+def test_passages_go_where_they_repeat_and_nothing_else_does(spark):
+    rows, passage, notice = passage_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in S.substring_dedup(df, unit="passage").collect()}
+    first = True
+    for i, text in rows:
+        if i % 7 == 3 and not first:
+            (span,) = got[i].removed
+            part = text[span.start : span.end].lower()  # a clause of one or two words before the passage joins its first clause
+            assert passage.lower().endswith(part) and len(part.split()) >= S.MIN_WORDS
+            assert part not in got[i].text.lower() and (notice in text) == (notice in got[i].text)
+        else:
+            assert got[i].text == text and got[i].removed is None
+        first = first and i % 7 != 3
+
+
+def brute_passages(rows, least=S.MIN_WORDS):
+    """Spans by doc_id, from plain loops over all units in order."""
+    seen, out = set(), {}
+    for doc, text in rows:
+        told = set()
+        for mark, _, digest in sorted(S.units_of(text, "passage", least)):
+            if digest in seen:
+                told.add(mark)
+            seen.add(digest)
+        lines = [(s, e) for s, e in S.spans_of(text, "line") if 2 * s + 1 in told]
+        runs, run = [], []
+        for start, end, n, _ in S.clauses(text):
+            if 2 * start in told:
+                run.append((start, end, n))
+            else:
+                runs.append(run)
+                run = []
+        lines += [(r[0][0], r[-1][1]) for r in [*runs, run] if sum(x[2] for x in r) >= least]
+        covered = sorted({k for s, e in lines for k in range(s, e)})
+        out[doc] = [k for k in covered]
+    return out
+
+
+def test_passages_match_brute_force_on_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    got = {r.doc_id: sorted({k for s in r.removed or [] for k in range(s.start, s.end)}) for r in S.substring_dedup(docs, unit="passage").collect()}
+    assert got == brute_passages(rows) and any(got.values())
+
+
+def test_clauses_cover_each_line():
+    text = "One two. Three four five; six\n\n a, b, c, d\nend"
+    found = [text[s:e] for s, e, _, _ in S.clauses(text)]
+    assert found == ["One two. Three four five;", "six", " a, b, c,", "d", "end"]
+    assert [n for _, _, n, _ in S.clauses(text)] == [5, 1, 3, 1, 1]
+    assert list(S.clauses(None)) == [] and list(S.clauses("")) == [] and list(S.clauses("!! ... \n")) == []
+
+
+CLASHES = ["doc", "text_key", "removed", "marks", "_text", "_maybe", "line", "start", "digest", "_0", "key"]
+
+
+@pytest.mark.parametrize("operator", [lambda d: S.substring_dedup(d, unit="passage"), S.substring_dedup, L.line_dedup])
+def test_clashing_columns_nulls_and_long_texts(spark, operator):
+    long = " ".join(f"w{k % 977}" for k in range(60_000)) + "."
+    rows = [(1, long), (2, long), (2, long), (None, long), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit("x").alias(c) for c in CLASHES))
+    out = operator(df)
+    assert out.columns == ["doc_id", "text", *(c for c in CLASHES if c != "removed"), "removed"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.count() == len(rows) and got[1].text == long and got[2].text == "" and got[None].text == ""
+    assert got[3].text is None and got[4].text == "" and got[2].doc == "x" and got[1].marks == "x"
+    assert operator(df.where("false")).count() == 0
+
+
+def test_query_counts_removed_passages(spark, tmp_path):
     from sparkloom.llm.queries import QUERIES
 
-    rows = [(1, "read more\n\na b\nc d e\n\nown"), (2, "Read  more\n\nnew\n\na b c\nd e\n\nend"), (3, "x\na b c d e"), (4, None), (5, "q\n\na b\nc d e")]
-    spark.createDataFrame([*rows, (6, "one\ntwo"), (7, "0\n\n one\ntwo ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.text, [(s.start, s.end) for s in r.removed or []], r.n_removed) for r in QUERIES["op4_substring_dedup"](spark, str(tmp_path)).collect()}
-    assert got[1] == (rows[0][1], [], 0) and got[6] == ("one\ntwo", [], 0) and got[4] == (None, [], 0)
-    assert got[2] == ("\nnew\n\n\nend", [(0, 10), (17, 26)], 2)
-    assert got[7] == ("0\n", [(3, 12)], 1)
+    rows, _, _ = passage_rows()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_removed for r in QUERIES["op4_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert {i for i, n in got.items() if n} == {i for i in range(60) if i % 7 == 3 and i != 3} and len(got) == 60
