@@ -178,7 +178,7 @@ def passage_rows():
         if i % 3:
             lines.insert(rng.randrange(len(lines) + 1), notice)
         if i % 7 == 3:
-            k = rng.randrange(len(lines))
+            k = rng.choice([k for k, x in enumerate(lines) if x != notice])
             lines[k] = f"{lines[k]} {passage.upper() if i % 2 else passage} {prose(9)}"
         rows.append((i, "\n".join(lines)))
     return rows, passage, notice
