@@ -84,18 +84,16 @@ def clauses(text: str | None) -> Iterator[Unit]:
                 start = at
 
 
-def long_lines(text: str | None, min_words: int) -> Iterator[Unit]:
-    """Lines of at least ``min_words`` words."""
-    return (u for u in whole_units(text, "line") if u[2] >= min_words)
-
-
 def units_of(text: str | None, unit: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
     """``mark, words, digest`` of each unit; a mark is twice the offset, plus one for a whole line or paragraph."""
     if unit == "passage":
-        for start, _, n, digest in clauses(text):
+        alone = set()
+        for start, end, n, digest in clauses(text):
+            alone.add((start, end))
             yield 2 * start, n, digest
-        for start, _, n, digest in long_lines(text, min_words):
-            yield 2 * start + 1, n, digest
+        for start, end, n, digest in whole_units(text, "line"):
+            if n >= min_words and (start, end) not in alone:  # a line of one clause is there already
+                yield 2 * start + 1, n, digest
     else:
         for start, _, n, digest in whole_units(text, unit):
             if n >= min_words:
