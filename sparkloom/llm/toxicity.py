@@ -1,32 +1,32 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A text is
-cut into windows of one word with its borders; a window's advantage is by how many bytes the toxic
-dictionary compresses it shorter than the ordinary one. A document is scored from its
-largest advantages and how many windows reach thresholds, by a logistic calibration fitted on
-labelled rows that the dictionaries have not seen.
-
-Most of a toxic document is ordinary prose, so its plain text trains a dictionary
-much like the other. Toxic training text is therefore what stands in toxic documents
-``LIFT`` times as often as in ordinary ones, counted by distinct neighbours, so that
-copies of one passage count once. Before compression each pair of neighbouring bytes
-is replaced by four fixed pseudo-random bytes: literals then cannot be
-squeezed, and the length shows only what the dictionary holds, even in a short window.
-
-Training uses a bounded sample of labelled rows: ``MAX_TOXIC`` and ``MAX_ORDINARY`` documents,
-those of the smallest hashes. Everything else covers all rows.
+zstandard dictionaries are trained on toxic and on ordinary text, and a document is read in overlapping windows of
+a few words. A window's advantage is by how many bytes shorter it gets with a toxic dictionary than with the ordinary one.
+A toxic dictionary is the ordinary one with toxic text behind it, so ordinary windows gain
+nothing from it, and gains show what only toxic text holds.
+
+Most of a toxic document is ordinary prose, and its names and phrases recur in copies of itself. So toxic documents are dealt
+into groups, one dictionary is trained on each, and a window's advantage is the least
+that all of them give: what is toxic recurs in all groups, chance likenesses and copies do not. Each
+group's text is refined in rounds to those windows on which the dictionaries of the other groups agree, at a
+threshold that ordinary windows hardly ever reach. Two views, each with its own width of window, are taken.
+A document's largest advantages and the number of windows at each threshold are calibrated by a logistic
+model on labelled rows that no dictionary has seen.
+
+Training uses a bounded sample of labelled rows: at most ``MAX_TOXIC`` and ``MAX_ORDINARY`` documents, those
+of the smallest hashes, none longer than ``MAX_CHARS``. Every row is scored by its whole text.
 
 Defined results: an empty or null text has no windows and gets the calibration's score for
 none; a document labelled twice counts as toxic if any label says so; without
-labels of both kinds every score is the share of toxic labels (0 if there are none);
-repeated rows are scored alike; an empty table gives an empty result; other columns are ignored.
+labels of both kinds every score is the share of toxic labels (0 if there are none); a row without doc_id is
+scored and not held out; repeated rows are scored alike; an empty table gives an empty result; ``toxicity`` ignores other
+columns, ``without_toxic`` passes them through, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +36,15 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import arrow
 
-MAX_TOXIC, MAX_ORDINARY = 4000, 6000
+MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 4000, 6000, 16_000
 THRESHOLD = 0.3
-LIFT, MIN_CONTEXTS = 8.0, 4
-TOXIC_BYTES, ORDINARY_BYTES = 32 * 1024, 384 * 1024
+#: Words in a window, groups of toxic documents, and bytes of ordinary and of toxic text in a dictionary.
+VIEWS = ((5, 12, 512 * 1024, 96 * 1024), (2, 6, 64 * 1024, 16 * 1024))
+#: Rounds of refinement; the share of ordinary windows below its threshold, and how many of them are looked at.
+ROUNDS, QUANTILE, LOOKED_AT = 3, 0.998, 40_000
 LEVEL = 3
+STEPS = (1, 2, 3, 5)
 _MARKS = b".,;:!?\"'()*#$%&|[]{}<>-"
-_MEMO = 400_000
 
 
 def held_out(doc_id) -> bool:
@@ -51,94 +53,97 @@ def held_out(doc_id) -> bool:
 
 
 def _words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").split()
+    return [x for x in (w.strip(_MARKS) for w in (text or "").lower().encode("utf-8", "surrogatepass").split()) if x]
 
 
-def _table() -> np.ndarray:
-    return np.random.default_rng(7).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
+def windows(words: list[bytes], width: int) -> Iterator[bytes]:
+    """Each run of ``width`` words with its borders; a shorter text is one window."""
+    for k in range(max(1, len(words) - width + 1) if words else 0):
+        yield b" " + b" ".join(words[k : k + width]) + b" "
 
 
-def _spread(window: bytes, table: np.ndarray) -> bytes:
-    a = np.frombuffer(window, np.uint8).astype(np.uint16)
-    return table[(a[:-1] << 8) | a[1:]].tobytes()
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    given = zstandard.ZstdCompressionDict(content or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    given.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=given, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def _contexts(texts: Iterable[str | None]) -> Counter:
-    """Words by the number of distinct (word before, word after) they stand between.
+def _dictionary(samples: list[bytes], size: int) -> bytes:
+    """At most ``size`` bytes that serve the samples best: all of them if they fit."""
+    if sum(map(len, samples)) <= size:
+        return b"".join(samples)
+    try:
+        return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # samples too few or too short to train on
+        return b"".join(samples)[:size]
+
+
+class View:
+    """Advantages of windows of one width."""
+
+    def __init__(self, width: int, ordinary: bytes, toxic: list[bytes]) -> None:
+        self.width = width
+        self.ordinary = _compressor(ordinary)
+        self.toxic = [_compressor(ordinary + t) for t in toxic]
+
+    def advantages(self, words: list[bytes], but: int = -1) -> list[tuple[bytes, int]]:
+        """Windows that every toxic dictionary (leaving out number ``but``) makes shorter, and by how much at least."""
+        plain, others = self.ordinary.compress, [t.compress for k, t in enumerate(self.toxic) if k != but]
+        out = []
+        for window in windows(words, self.width):
+            usual = len(plain(window))
+            least = 99
+            for compress in others:
+                least = min(least, usual - len(compress(window)))
+                if least <= 0:
+                    break
+            else:
+                out.append((window, least))
+        return out
+
+    def features(self, words: list[bytes]) -> list[float]:
+        found = sorted((a for _, a in self.advantages(words)), reverse=True) if self.toxic else []
+        counts = [sum(a >= t for a in found) for t in STEPS]
+        top = [*found[:3], 0, 0, 0][:3]
+        return [*(x / 4 for x in top), *np.log1p(counts), np.log1p(1000 * counts[1] / (len(words) + 20))]
 
-    Kept as numbers: a word's place in a list, and a 64-bit hash of the three places.
-    """
-    places: dict[bytes, int] = {b"": 0}
-    found = [np.zeros((0, 2), np.uint64)]
-    for text in texts:
-        stripped = (x.strip(_MARKS) for x in _words(text))
-        w = np.array([0, *(places.setdefault(x, len(places)) for x in stripped if x), 0], np.uint64)
-        if len(w) > 2:
-            mixed = w[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ w[2:] * np.uint64(0xC2B2AE3D27D4EB4F)
-            code = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x165667B19E3779F9) + w[1:-1] * np.uint64(0xD6E8FEB86659FD93)
-            found.append(np.column_stack([w[1:-1], code]))
-    every = np.concatenate(found)
-    _, first = np.unique(every[:, 1], return_index=True)
-    counts = np.bincount(every[first, 0].astype(np.int64), minlength=len(places))
-    return Counter({x: int(counts[i]) for x, i in places.items() if counts[i]})
 
+def _samples(windows: list[bytes], rng: np.random.Generator) -> list[bytes]:
+    """Windows in random order, eight to a sample."""
+    order = rng.permutation(len(windows))
+    return [b"".join(windows[i] for i in order[k : k + 8]) for k in range(0, len(order), 8)]
 
-def _dictionary(counts: list[tuple[bytes, int]], size: int, table: np.ndarray) -> bytes:
+
+def _view(width: int, groups: int, base: int, size: int, toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[int, bytes, list[bytes]]:
+    """Train one view from the words of toxic and of ordinary documents."""
     rng = np.random.default_rng(11)
-    bag = [w for w, n in counts for _ in range(n)]
-    bag = [bag[i] for i in rng.permutation(len(bag))]
-    samples = [b"".join(_spread(b" " + w + b" ", table) for w in bag[i : i + 8]) for i in range(0, len(bag), 8)]
-    samples = [s for s in samples if len(s) >= 8]
-    try:
-        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, samples)) // 4)), samples, k=128, d=8).as_bytes()
-    except (zstandard.ZstdError, ValueError):  # too little text to train on: the text itself serves as content
-        return b"".join(samples)[-size:]
-
-
-class Windows:
-    """Advantage of the toxic dictionary for single-word windows, remembered by word."""
-
-    def __init__(self, toxic: bytes, ordinary: bytes) -> None:
-        self.table = _table()
-        self.pair = [self._compressor(x) for x in (ordinary, toxic)]
-        self.memo: dict[bytes, int] = {}
-
-    @staticmethod
-    def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-        kind = zstandard.DICT_TYPE_AUTO if content else zstandard.DICT_TYPE_RAWCONTENT
-        given = zstandard.ZstdCompressionDict(content or b"\0" * 8, dict_type=kind)
-        given.precompute_compress(level=LEVEL)
-        return zstandard.ZstdCompressor(
-            level=LEVEL, dict_data=given, write_content_size=False, write_checksum=False, write_dict_id=False
-        )
-
-    def advantage(self, word: bytes) -> int:
-        if len(self.memo) > _MEMO:
-            self.memo.clear()
-        x = _spread(b" " + word.strip(_MARKS) + b" ", self.table)
-        got = len(self.pair[0].compress(x)) - len(self.pair[1].compress(x))
-        self.memo[word] = got
-        return got
-
-    def features(self, text: str | None) -> tuple[float, ...]:
-        known, memo = self.advantage, self.memo
-        best, second, some, many = 0, 0, 0, 0
-        words = _words(text)
-        for w in words:
-            v = memo.get(w)
-            if v is None:
-                v = known(w)
-            if v > 3:
-                some += 1
-                many += v > 6
-                if v > best:
-                    best, second = v, best
-                elif v > second:
-                    second = v
-        return (min(best, 24) / 8, min(second, 24) / 8, np.log1p(some), np.log1p(many), np.log1p(1000.0 * many / (len(words) + 50)))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
+    groups = max(1, min(groups, len(toxic) // 4))
+    plain = _dictionary([b" ".join(w) + b" " for w in ordinary], base)
+    dealt = [toxic[k::groups] for k in range(groups)]
+    kept = [[x for words in group for x in windows(words, width)] for group in dealt]
+    for round_ in range(ROUNDS + 1):
+        view = View(width, plain, contents := [_dictionary(_samples(k, rng), size) for k in kept])
+        if groups == 1 or round_ == ROUNDS:
+            break
+        refined = []
+        for k, group in enumerate(dealt):
+            gains, seen = [], 0
+            for words in ordinary[k::groups]:
+                seen += max(1, len(words) - width + 1)
+                gains += [a for _, a in view.advantages(words, k)]
+                if seen > LOOKED_AT:
+                    break
+            gains = sorted(gains, reverse=True)
+            rare = int((1 - QUANTILE) * seen)
+            least = 1 + (gains[rare] if rare < len(gains) else 0)
+            refined.append([x for words in group for x, a in view.advantages(words, k) if a >= least])
+        if min(map(len, refined)) < 5:
+            break
+        kept = refined
+    return width, plain, contents
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-1, rounds: int = 60) -> np.ndarray:
     """Newton's method; the last weight is the intercept."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
@@ -153,62 +158,66 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 6
     return w
 
 
+class Model:
+    """Views and calibration as they run in a task; built from what :func:`fit` returns."""
+
+    def __init__(self, model: dict) -> None:
+        self.share = model.get("share", 0.0)
+        self.views = [View(*v) for v in model.get("views", ())]
+        self.weights = np.array(model.get("weights", [0.0]))
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if not self.views:
+            return np.full(len(texts), float(self.share))
+        x = np.array([document_features(self.views, t) for t in texts])
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+
+
+def document_features(views: list[View], text: str | None) -> list[float]:
+    words = _words(text)
+    return [x for v in views for x in v.features(words)]
+
+
 def fit(rows: list[tuple[object, str | None, int]]) -> dict:
     """A model from (doc_id, text, toxic) rows: two thirds for the dictionaries, one for calibration."""
     rows = sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[1] or "", r[2]))
-    parts = [[], []]
+    parts: list[list] = [[], []]
     for i, r in enumerate(rows):
         parts[i % 3 == 2].append(r)
     share = sum(r[2] for r in rows) / len(rows) if rows else 0.0
     if not all(len({r[2] for r in p}) == 2 for p in parts):
         return {"share": share}
-    table = _table()
-    toxic, ordinary = (_contexts({r[1] for r in parts[0] if r[2] == k}) for k in (1, 0))
-    n1, n0 = sum(toxic.values()), sum(ordinary.values())
-    least = max(MIN_CONTEXTS, 5e-5 * n1)
-    picked = {w for w, n in toxic.items() if n >= least and n / n1 >= LIFT * (ordinary[w] + 0.5) / n0}
-    if not picked:
-        return {"share": share}
-    text1 = [(w, min(toxic[w], 50)) for w in sorted(picked)]
-    usual = sorted((w for w, n in ordinary.items() if n >= 3 and w not in picked), key=lambda w: (-ordinary[w], w))[:20000]
-    text0 = [(w, min(ordinary[w], 20)) for w in usual]
-    model = {"toxic": _dictionary(text1, TOXIC_BYTES, table), "ordinary": _dictionary(text0, ORDINARY_BYTES, table)}
-    windows = Windows(model["toxic"], model["ordinary"])
-    x = np.array([windows.features(r[1]) for r in parts[1]])
-    model["weights"] = _logistic(x, np.array([r[2] for r in parts[1]], float)).tolist()
-    return model
+    toxic, ordinary = ([_words(t) for t in dict.fromkeys(r[1] for r in parts[0] if r[2] == k)] for k in (1, 0))
+    views = [_view(*v, toxic, ordinary) for v in VIEWS]
+    ready = [View(*v) for v in views]
+    x = np.array([document_features(ready, r[1]) for r in parts[1]])
+    return {"share": share, "views": views, "weights": _logistic(x, np.array([r[2] for r in parts[1]], float)).tolist()}
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
-    """Training rows, at most ``MAX_TOXIC + MAX_ORDINARY``, never held-out ones."""
-    rest = F.crc32(F.col(id_col).cast("string")) % 4
-    usable = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & (rest != 2))
-    each = usable.groupBy(id_col).agg(F.max("toxic").cast("int").alias("_toxic"))
-    order = (F.xxhash64(id_col), F.col(id_col))
+    """Training rows, at most ``MAX_TOXIC + MAX_ORDINARY`` of at most ``MAX_CHARS`` characters, never held-out ones."""
+    labels = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
+    usable = labels.where(F.col("_id").isNotNull() & F.col("_toxic").isNotNull() & (F.crc32(F.col("_id").cast("string")) % 4 != 2))
+    each = usable.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
+    order = (F.xxhash64("_id"), F.col("_id"))
     ids = each.where("_toxic = 1").orderBy(*order).limit(MAX_TOXIC).union(each.where("_toxic = 0").orderBy(*order).limit(MAX_ORDINARY))
     # at most MAX_TOXIC + MAX_ORDINARY ids: a proven bound
-    found = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(ids), id_col)
-    found = found.groupBy(id_col).agg(F.min("_text").alias("_text"), F.max("_toxic").alias("_toxic"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("_doc"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    found = texts.where(F.length(F.coalesce("_text", F.lit(""))) <= MAX_CHARS).join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
+    found = found.groupBy("_doc").agg(F.min("_text").alias("_text"), F.max("_toxic").alias("_toxic"))
     return [(r[0], r[1], r[2]) for r in found.collect()]
 
 
 def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``df``."""
-    source = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    source = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(model["toxic"], model["ordinary"]) if "weights" in model else None
-        weights = np.array(model.get("weights", [0.0]))
+        ready = Model(model)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if windows is None:
-                scores = np.full(batch.num_rows, float(model["share"]))
-            else:
-                x = np.array([windows.features(t.as_py()) for t in batch.column(1)])
-                scores = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["_id", "score"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ready.scores(batch.column(1).to_pylist()))], names=["_id", "score"])
 
     scored = arrow(source, run, f"_id {kind}, score double")
     return scored.select(
@@ -223,21 +232,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return score(docs, fit(labelled_sample(docs, labels, id_col, text_col)), id_col, text_col)
 
 
-def without_toxic(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_toxic(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows predicted toxic; one pass, whole rows through the scorer."""
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(model["toxic"], model["ordinary"]) if "weights" in model else None
-        weights = np.array(model.get("weights", [0.0]))
+        ready = Model(model)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if windows is None:
-                fine = np.full(batch.num_rows, model["share"] < THRESHOLD)
-            else:
-                x = np.array([windows.features(t.as_py()) for t in batch.column(at)])
-                fine = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))) < THRESHOLD
-            yield batch.filter(pa.array(fine))
+            if batch.num_rows:
+                yield batch.filter(pa.array(ready.scores(batch.column(at).to_pylist()) < THRESHOLD))
 
     return arrow(docs, run, schema)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import ordinal_quality as O
 from sparkloom.llm import toxicity as T
@@ -60,9 +61,48 @@ def test_toxicity_without_labels(frames):
     assert T.toxicity(docs.where("false"), labels).count() == 0
 
 
-def test_contexts_count_distinct_neighbours():
-    got = T._contexts(["a b c", "a b c", "x b c. B"])
-    assert got == {b"a": 1, b"b": 3, b"c": 2, b"x": 1}
+def test_advantages_match_plain_lengths():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5)).encode()
+    ordinary, toxic = b" ".join(word() for _ in range(400)), [b" ".join(word() for _ in range(40)) for _ in range(3)]
+    words = [rng.choice([*toxic[k % 3].split(), word()]) for k in range(60)]
+    for but in (-1, 1):
+        want = []
+        for k in range(len(words) - 3):
+            window = b" " + b" ".join(words[k : k + 4]) + b" "
+            size = lambda content: len(T._compressor(content).compress(window))  # noqa: B023, E731
+            gain = min(size(ordinary) - size(ordinary + t) for j, t in enumerate(toxic) if j != but)
+            if gain > 0:
+                want.append((window, gain))
+        assert T.View(4, ordinary, toxic).advantages(words, but) == want
+    assert list(T.windows([], 3)) == [] and list(T.windows([b"a"], 3)) == [b" a "] and len(list(T.windows([b"a"] * 5, 3))) == 3
+
+
+def test_classifiers_on_clashing_columns_long_texts_and_repeats(spark, frames):
+    docs, labels, _ = frames
+    long = "grumblewort ban del tor " * 20_000
+    extra = docs.union(spark.createDataFrame([(7000, long, "s"), (7000, long, "s")], docs.schema))
+    for name in ("held_out", "_text", "predicted", "_toxic", "removed"):
+        extra = extra.withColumn(name, F.lit(1))
+    got = [r for r in T.toxicity(extra, labels).collect() if r.doc_id == 7000]
+    assert len(got) == 2 and got[0] == got[1]
+    kept = T.without_toxic(extra, T.fit(T.labelled_sample(extra, labels)))
+    assert kept.columns == extra.columns and kept.count() <= extra.count() - 2
+    assert not any(len(r[1] or "") > T.MAX_CHARS for r in T.labelled_sample(extra, labels.union(spark.createDataFrame([(7000, 1, 1)], labels.schema))))
+    graded = [r for r in O.ordinal_quality(extra.drop("predicted"), labels).collect() if r.doc_id == 7000]
+    assert len(graded) == 2 and graded[0] == graded[1]
+
+
+def test_toxicity_on_the_labelled_documents(spark):
+    """Held-out rows of real size; rows of languages with a handful of toxic labels are the ones that are missed."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    true = {r.doc_id: r.toxic for r in labels.collect()}
+    got = {r.doc_id: r for r in T.toxicity(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), labels).collect()}
+    away = {i for i in got if T.held_out(i)}
+    toxic = {i for i in away if true[i]}
+    caught = {i for i in away if got[i].predicted}
+    assert len(caught & toxic) >= 0.7 * len(toxic) and len(caught & toxic) >= 0.88 * len(caught)
 
 
 def test_ordinal_grades(frames):
