@@ -1,39 +1,43 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint is cut into segments of equal width. For each segment the Hamming
-ball of radius ``distance // 2`` is enumerated; the fingerprint is posted
-under each word so reached, and fingerprints posted under one word are fetched and
-verified by their complete distance. Two fingerprints at most ``distance`` (an even
-number) apart always meet: the word with half of their differing bits changed lies
-in a ball of each. With distance 2 a fingerprint is posted 65 times whatever the
-data, and no word holds more than 65 fingerprints, so no bucket needs a cap and no
-bucket grows with a group of copies. Equal fingerprints collapse before posting.
+A fingerprint is cut into segments. There is a table for each segment in which every distinct fingerprint
+stands once, under its value of the segment; and every fingerprint probes the table with all values in
+a small Hamming ball around its own. Of two fingerprints within ``distance``, at least one segment differs by no more than its
+radius: with ``distance = a * segments + b`` the first ``b + 1`` segments have radius ``a`` and the others ``a - 1``
+(none at all below zero). What a probe meets is verified by the complete distance.
 
-Linked fingerprints become components (:mod:`sparkloom.operators.components`).
+Entries and probes of one table place are compared in one task, and places with more than ``PART`` entries
+are dealt out as a grid of parts. Only links that join something not yet joined leave it, so a group of near
+copies gives one link a fingerprint, not one a pair. Equal fingerprints collapse
+before all this. Linked fingerprints become components (:mod:`sparkloom.operators.components`).
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other;
 rows with one doc_id are fingerprinted each on their own; a null doc_id is
 never the component's id unless all its doc_ids are null; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored by ``simhash_dedup`` and passed through by ``keep_one``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import map_arrow
+from sparkloom.llm.common import arrow, map_arrow
 from sparkloom.operators.components import connected_components
 from sparkloom.storage import table
 
 SEED = 42
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 _BLOCK = 1 << 16
+#: Entries of one table place that are compared in one task.
+PART = 4096
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -58,7 +62,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = 3) -> DataFrame:
     """``keep`` columns and ``fp``: the fingerprint as a signed 64-bit number."""
-    source = df.select(*(F.col(c) for c in keep), F.col(text_col).cast("string").alias("_text"))
+    source = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -69,27 +73,121 @@ def fingerprints(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     return map_arrow(source, run, f"{fields}, fp long")
 
 
-def _ball(fp: Column, segments: int, width: int) -> Column:
-    """The fingerprint and each word that differs from it by one bit of one segment."""
-    masks = [0]
-    for segment in range(segments):
-        masks += [1 << (segment * width + bit) for bit in range(width)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return F.transform(F.array(*(F.lit(m).cast("long") for m in signed)), lambda m: fp.bitwiseXOR(m))
+def layout(segments: int, distance: int) -> list[tuple[int, int, int]]:
+    """``first bit, width, radius`` of each segment that is probed."""
+    near, more = divmod(distance, segments)
+    edges = [64 * k // segments for k in range(segments + 1)]
+    radii = [near if k <= more else near - 1 for k in range(segments)]
+    return [(edges[k], edges[k + 1] - edges[k], radii[k]) for k in range(segments) if radii[k] >= 0]
 
 
-def near_links(fps: DataFrame, distance: int = 2, segments: int = 2, width: int = 32) -> DataFrame:
+def ball(width: int, radius: int) -> list[int]:
+    """Masks of at most ``radius`` bits among ``width``."""
+    return [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)]
+
+
+def _value(fp: Column, first: int, width: int) -> Column:
+    value = F.shiftrightunsigned(fp, first)
+    return value if width == 64 else value.bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def entries(fps: DataFrame, places: list[tuple[int, int, int]]) -> DataFrame:
+    """``segment, value, fp``: each fingerprint once in the table of each segment."""
+    rows = [F.struct(F.lit(k).alias("segment"), _value(F.col("fp"), first, width).alias("value")) for k, (first, width, _) in enumerate(places)]
+    return fps.select("fp", F.explode(F.array(*rows)).alias("_at")).select("_at.segment", "_at.value", "fp")
+
+
+def probes(fps: DataFrame, places: list[tuple[int, int, int]]) -> DataFrame:
+    """``segment, value, fp, own``: where each fingerprint looks; ``own`` marks its entry, the centre of the ball."""
+
+    def around(k: int, first: int, width: int, radius: int) -> Column:
+        value = _value(F.col("fp"), first, width)
+        masks = F.array(*(F.lit(_signed(m)).cast("long") for m in ball(width, radius)))
+        return F.transform(masks, lambda m: F.struct(F.lit(k).alias("segment"), value.bitwiseXOR(m).alias("value"), (m == 0).alias("own")))
+
+    balls = [around(k, *place) for k, place in enumerate(places)]
+    return fps.select("fp", F.explode(F.concat(*balls)).alias("_at")).select("_at.segment", "_at.value", "fp", "_at.own")
+
+
+def dealt(fps: DataFrame, places: list[tuple[int, int, int]], part: int) -> DataFrame:
+    """The probes with the cell ``p, q`` that they go to, and whether they are an entry and a probe there."""
+    counts = entries(fps, places).groupBy("segment", "value").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    long_lists = table(counts.where("parts > 1"))
+    rows = probes(fps, places).join(long_lists, ["segment", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    cell = lambda p, q, entry, probe: F.struct(p.alias("p"), q.alias("q"), entry.alias("entry"), probe.alias("probe"))
+    as_probe = F.transform(every, lambda i: cell(i, own, F.col("own") & (i == own), F.lit(True)))
+    as_entry = F.transform(F.filter(every, lambda i: F.col("own") & (i != own)), lambda i: cell(own, i, F.lit(True), F.lit(False)))
+    return rows.withColumn("_cell", F.explode(F.concat(as_probe, as_entry))).select("segment", "value", "_cell.*", "fp")
+
+
+def place_links(entry: np.ndarray, probe: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Verified links between entries and probes (uint64) that join something not yet joined."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    out = []
+    for a in entry:
+        near = probe[np.bitwise_count(probe ^ a) <= distance]
+        for b in near.tolist():
+            x, y = top(int(a)), top(b)
+            if x != y:
+                root[x] = y
+                out.append((int(a), b))
+    return out
+
+
+def near_links(fps: DataFrame, distance: int = 2, segments: int = 2, part: int = PART) -> DataFrame:
     """Links ``(a, b)`` whose closure is that of all pairs at most ``distance`` apart.
 
-    ``fps``: one row per distinct fingerprint, column ``fp``. Fingerprints met under
-    one word are chained in order instead of paired, which loses no connection.
+    ``fps``: one row per distinct fingerprint, column ``fp``.
     """
-    if distance != 2:
-        raise ValueError("balls of radius one serve distance 2")
-    posted = fps.select("fp", F.explode(_ball(F.col("fp"), segments, width)).alias("word"))
-    before = F.lag("fp").over(Window.partitionBy("word").orderBy("fp"))
-    met = posted.withColumn("a", before).where("a is not null")
-    return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= distance).select("a", F.col("fp").alias("b")).distinct()
+    if not (0 <= distance < 64 and 1 <= segments <= 64):
+        raise ValueError(f"distance {distance} of 64 bits in {segments} segments")
+    rows = dealt(fps, layout(segments, distance), part)
+    at = ["segment", "value", "p", "q"]
+    rows = rows.repartition(*at).sortWithinPartitions(*at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def links(keys: np.ndarray, entry: np.ndarray, probe: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
+            """Of whole places, one after the other."""
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, int)
+            sizes = np.diff(np.r_[starts, len(keys)])
+            filled = np.add.reduceat(entry.astype(np.int64), starts) if len(starts) else starts
+            out = []
+            for s, n in zip(starts[(sizes > 1) & (filled > 0)], sizes[(sizes > 1) & (filled > 0)]):
+                here = slice(s, s + n)
+                out += place_links(fp[here][entry[here]], fp[here][probe[here]], distance)
+            return out
+
+        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            now = [np.stack([c.astype(np.int64) for c in columns[:4]], 1), columns[4].astype(bool), columns[5].astype(bool), columns[6].view(np.uint64)]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            last = int(np.flatnonzero((held[0] == held[0][-1]).all(1))[0])  # the last place may go on
+            yield batch_of(links(*(x[:last] for x in held)))
+            held = [x[last:] for x in held]
+        if held is not None:
+            yield batch_of(links(*held))
+
+    return arrow(rows, run, "a long, b long").where("a != b").distinct()
 
 
 def near_components(rows: DataFrame, id_col: str = "doc_id", distance: int = 2) -> DataFrame:
@@ -117,5 +215,5 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     document and stay together.
     """
     verdicts = simhash_dedup(df, id_col, text_col, shingle, distance)
-    kept = verdicts.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_kept"), F.col("fp").alias("_fp")).distinct()
-    return df.join(kept.select("_kept").distinct(), df[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+    kept = verdicts.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__kept_id")).distinct()
+    return df.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")), "left_semi")

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -68,21 +69,46 @@ def test_fingerprints(rows):
     assert S.fingerprint("ÀB Ab") == plain_fingerprint("ÀB Ab") != S.fingerprint("àb ab")
 
 
-def test_simhash_links_match_brute_force(spark, rows):
+@pytest.mark.parametrize(("distance", "segments", "part"), [(2, 2, 4096), (2, 2, 5), (1, 2, 4), (2, 4, 4096), (3, 2, 9), (5, 3, 4096), (0, 1, 2)])
+def test_simhash_links_match_brute_force(spark, distance, segments, part):
     rng = random.Random(2)
-    base = [rng.getrandbits(64) for _ in range(40)]
-    fps = base + [b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base] + [b ^ 7 << rng.randrange(60) for b in base]
+    base = [rng.getrandbits(64) for _ in range(30)]
+    flip = lambda f, n: f ^ sum(1 << b for b in rng.sample(range(64), n))
+    fps = [*base, *(flip(b, n) for b in base for n in range(1, 7)), *(flip(base[0], rng.randrange(1, 5)) for _ in range(60)), 0, 2**64 - 1, 1]
     signed = [(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps + fps[:3])]
     df = spark.createDataFrame(signed, "doc_id long, fp long")
-    got = {r.fp: r.component_id for r in S.near_components(df).collect()}
-    label = {i: i for i, _ in signed}
+    links = {(r.a, r.b) for r in S.near_links(df.select("fp").distinct(), distance, segments, part).collect()}
+    apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    assert all(0 < apart(a, b) <= distance for a, b in links)
+    label = {f: f for _, f in signed}
     changed = True
     while changed:
         changed = False
-        for i, a in signed:
-            least = min(label[j] for j, b in signed if ((a ^ b) & (2**64 - 1)).bit_count() <= 2)
-            changed, label[i] = changed or least < label[i], min(least, label[i])
-    assert {i: got[f] for i, f in signed} == label
+        for a in label:
+            least = min(label[b] for b in label if apart(a, b) <= distance)
+            changed, label[a] = changed or least < label[a], min(least, label[a])
+    found = {f: f for f in label}
+    for _ in range(len(label)):
+        for a, b in links:
+            found[a] = found[b] = min(found[a], found[b])
+    assert found == label
+    if (distance, segments) == (2, 2):
+        first = {}
+        for i, f in signed:
+            first[label[f]] = min(first.get(label[f], i), i)
+        got = {r.fp: r.component_id for r in S.near_components(df).collect()}
+        assert got == {f: first[label[f]] for f in label}
+
+
+def test_simhash_tables_and_probes(spark):
+    assert S.layout(2, 2) == [(0, 32, 1), (32, 32, 0)] and S.layout(4, 2) == [(0, 16, 0), (16, 16, 0), (32, 16, 0)]
+    assert len(S.ball(32, 1)) == 33 and len(S.ball(10, 2)) == 56
+    df = spark.createDataFrame([(5,), (-1,)], "fp long")
+    assert S.entries(df, S.layout(2, 2)).count() == 4 and S.probes(df, S.layout(2, 2)).count() == 2 * 34
+    far = S.place_links(np.array([0], np.uint64), np.array([0, 1, 7], np.uint64), 2)
+    assert far == [(0, 1)]  # the third shares the place and is too far away
+    with pytest.raises(ValueError, match="distance"):
+        S.near_links(df, 70)
 
 
 def test_simhash_dedup(spark, rows):
@@ -94,6 +120,11 @@ def test_simhash_dedup(spark, rows):
     assert kept.columns == ["doc_id", "text", "source", "size"]
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in out if r.doc_id == r.component_id)
     assert S.keep_one(docs(spark, rows).where("false")).count() == 0
+    clash = docs(spark, rows)
+    for name in ("fp", "_text", "component_id", "node", "first_id", "_kept"):
+        clash = clash.withColumn(name, F.lit(1))
+    assert sorted(r.doc_id for r in S.keep_one(clash).collect()) == sorted(r.doc_id for r in kept.collect())
+    assert S.simhash_dedup(clash).count() == len(rows)
 
 
 @pytest.mark.parametrize("bucket", [4096, 3])
