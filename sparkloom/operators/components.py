@@ -3,8 +3,8 @@
 Large-star / small-star rounds (Kiveris et al., "Connected Components in
 MapReduce and Beyond", 2014): each round hooks neighbours onto the smallest label
 seen, so long chains contract in a logarithmic number of rounds. A hub is
-never gathered: each round is an aggregate (combined map-side) and a join that
-the adaptive planner can split.
+never gathered: each round is an aggregate (combined map-side), whose result is written, and a join of two
+plain tables, which the adaptive planner can split where a node has very many edges.
 """
 
 from __future__ import annotations
@@ -16,18 +16,20 @@ from sparkloom.storage import drop_table, table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One half-round over edges ``(u, v)`` with ``u > v``."""
+    """One half-round over written edges ``(u, v)`` with ``u > v``; its result is written too."""
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        mins = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        mins = table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         linked = both.join(mins, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        mins = edges.groupBy("u").agg(F.min("v").alias("m"))
+        mins = table(edges.groupBy("u").agg(F.min("v").alias("m")))
         linked = edges.join(mins, "u")
         linked = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             mins.select("u", F.col("m").alias("v"))
         )
-    return linked.where("u > v").distinct()
+    out = table(linked.where("u > v").distinct())
+    drop_table(mins)
+    return out
 
 
 def connected_components(
@@ -45,7 +47,8 @@ def connected_components(
     mark = None
     for _ in range(max_rounds):
         half = _star(now, large=True)
-        after = table(_star(half, large=False))
+        after = _star(half, large=False)
+        drop_table(half)
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_table(now)
         now = after
