@@ -7,6 +7,7 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +69,35 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return arrow(df, run, schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """``starts, ends, columns``: sorted batches cut so that rows alike in the first ``keys`` columns come together.
+
+    A group may run on over batches; what is held is one batch and one group.
+    """
+    held: list[np.ndarray] | None = None
+
+    def groups(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        n = len(columns[0])
+        new = np.zeros(n, bool)
+        new[:1] = True
+        for c in columns[:keys]:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(new)
+        return starts, np.append(starts[1:], n), columns
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+        last = int(groups(held)[0][-1])
+        if last:
+            yield groups([c[:last] for c in held])
+            held = [c[last:] for c in held]
+    if held is not None:
+        yield groups(held)
+
+
 class Members:
     """A set of 64-bit keys as a bitmap of fixed size, to thin a scan before a join.
 

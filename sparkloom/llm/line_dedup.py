@@ -1,26 +1,26 @@
 """Fuzzy line deduplication.
 
 Lines are normalised (lower case, digits as 0, no punctuation at the ends of words, single spaces) and equal ones
-collapse by digest. Each distinct line gets a SimHash over its words, a repeated word counting
-as another feature each time. Lines whose fingerprints differ in at most three bits are found by
-pigeonhole: of six blocks at least three are equal, and since the blocks form two
-groups of three, two of the equal ones share a group; so a semi join on each of the six pairs within a group finds every
-line that has a partner. That gate is far tighter than the edit similarity. With ``candidates="words"``, as the query and
-the pipeline run, lines meet instead under keys of their words: short lines under what is left
-without one or two words, others under minhashes of three-word shingles, and ``WIDE`` bits only
-save verifications. Lines whose edits fall into most of their words can still miss each other.
-The lines under one key are then compared in one task (large keys in several), where
-those within the full distance are verified by edit similarity of the normalised lines, at least
-``SIMILARITY``, unless already connected: no link that would connect more is lost, and a group of near copies
-yields one link a line. Of each connected group of lines the occurrence first in
+collapse by digest. Each distinct line of ``MIN_WORDS`` words or more gets a SimHash over its words and a few keys. Lines
+that share a key and whose fingerprints differ in at most ``WIDE`` bits are verified by the edit similarity of
+the normalised lines, at least ``SIMILARITY``. Of each connected group of lines the occurrence first in
 order of doc_id and offset stays.
 
-Only digests, fingerprints, ids and offsets are shuffled before the verification, which
-fetches the text of candidate lines alone, picked in the scan by a bitmap of fixed size.
-
-Defined results: a null text stays null and has no lines; lines of fewer than ``MIN_WORDS`` words
-stay; rows equal in doc_id and text are one document, so repeats of a row do not remove each other's
-lines; a null doc_id ranks last; an empty table gives an empty result; other columns pass through.
+A pigeonhole over blocks of the fingerprint itself cannot give right results: lines of edit similarity 0.8
+lie up to 18 of 64 bits apart, which leaves blocks of three bits. The keys are therefore pigeonholes over the words: the
+least of ``ROUNDS`` hashes of three-word shingles, one of which survives the edits; and for lines of up to ``SHORT`` words
+the bag of words, whole and without each one of them, where any fingerprint is a partner. Lines edited in
+most of their words can still miss each other.
+
+Lines under one key are compared in one task (large keys in several), never again where they are connected
+already, and a pair with several keys in common only under the first of these: no link that would connect more is lost,
+and a group of near copies yields one link a line. Only digests, fingerprints, keys and offsets are shuffled before the
+verification, which fetches the text of candidate lines alone, picked in the scan by a bitmap of fixed size.
+
+Defined results: a null text stays null and has no lines; blank lines stay, and shorter lines go only as exact
+repeats; rows equal in doc_id and text are one document, so repeats of a row do not remove each other's
+lines; a null doc_id ranks last; an empty table gives an empty result; ``removed`` holds the original code point offsets
+(null where nothing goes) and replaces a column of that name; other columns pass through.
 """
 
 from __future__ import annotations
@@ -33,26 +33,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Members, arrow
-from sparkloom.llm.text_units import REMOVED, cut, document_keys, in_order
+from sparkloom.llm.common import Members, arrow, whole_groups
+from sparkloom.llm.text_units import REMOVED, cut, in_order, keyed_texts
 from sparkloom.operators.components import connected_components
 from sparkloom.storage import table
 
 SIMILARITY = 0.8
-DISTANCE = 3
-MIN_WORDS = 3
-#: Words candidates: lines of up to ``SHORT`` words meet under what is left without one or two of their words; lines
-#: of ``LONG`` words or more under ``ROUNDS`` minhashes of three-word shingles, within ``WIDE`` bits.
-SHORT, LONG, ROUNDS, WIDE = 9, 8, 12, 22
-#: Six blocks as (first bit, width), and the pairs within each group of three.
-BLOCKS = ((0, 11), (11, 11), (22, 10), (32, 11), (43, 11), (54, 10))
-PAIRS = ((0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5))
-#: Word hashes, or lines, held at once by a task; each hash is spread to 64 bytes.
+#: Words of a line that is compared by similarity, words up to which its bag counts, minhashes, and bits of difference.
+MIN_WORDS, SHORT, ROUNDS, WIDE = 3, 9, 4, 18
+#: Word hashes, or lines, held at once by a task.
 _HELD = 100_000
-#: Lines of one bucket that a task compares; larger buckets are dealt out as pairs of parts.
-_PART = 20_000
+#: Lines under one key that a task compares; larger keys are dealt out as pairs of parts.
+_PART = 8192
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
+_ODD = np.random.default_rng(7).integers(1 << 62, size=ROUNDS + 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: For each byte, its bits as eight counters of eight bits.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def flatten(text: str) -> bytes:
@@ -70,65 +67,39 @@ def normalise(line: str) -> list[bytes]:
     return bare(flatten(line).split())
 
 
-def features(words: list[bytes]) -> list[int]:
-    """A hash of each word, seeded by how often it came before."""
-    out = list(map(xxhash.xxh64_intdigest, words))
-    if len(set(words)) < len(words):
-        seen: dict[bytes, int] = {}
-        for k, w in enumerate(words):
-            if w in seen:
-                seen[w] += 1
-                out[k] = xxhash.xxh64_intdigest(w, seen[w])
-            else:
-                seen[w] = 0
-    return out
-
-
-def fingerprints(hashes: list[int], sizes: list[int]) -> np.ndarray:
-    """SimHash of consecutive runs of ``hashes``: bits set in over half of a run."""
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+def fingerprints(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SimHash of consecutive runs of ``hashes`` (uint64): bits set in over half of a run."""
     ends = np.cumsum(sizes)
-    ones = np.array([bits[e - n : e].sum(0, dtype=np.int32) for e, n in zip(ends, sizes)])
-    return np.packbits(2 * ones > np.array(sizes)[:, None], axis=1, bitorder="little").view(np.uint64).ravel().view(np.int64)
-
-
-_ODD = np.random.default_rng(7).integers(1 << 62, size=ROUNDS + 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    pieces = [(e - n + k, i) for i, (e, n) in enumerate(zip(ends.tolist(), sizes.tolist())) for k in range(0, n, 255)]
+    starts, owner = (np.array(x) for x in zip(*pieces))  # a counter of eight bits holds 255 words
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    counts = np.stack([np.add.reduceat(_SPREAD[octets[:, k]], starts) for k in range(8)], 1).view(np.uint8)
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    ones = np.add.reduceat(counts.astype(np.int32), first, axis=0)
+    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def short_keys(hashes: list[int]) -> list[int]:
-    """Keys of the bags of words left without one word, and without two: odd numbers of 32 bits."""
-    n, total = len(hashes), sum(hashes)
-    left = [total - h for h in hashes]
-    if n > 3:
-        left += [left[i] - hashes[j] for i in range(n) for j in range(i)]
-    return list({(((x * 0x9E3779B97F4A7C15) >> 32) & 0xFFFFFFFF | 1) - (1 << 31) for x in left})
-
-
-def word_keys(hashes: list[int], sizes: list[int]) -> list[list[int]]:
-    """Keys of consecutive runs of plain word hashes under which near-equal lines meet.
-
-    The key is odd for short lines, where any partner is verified, and even for longer ones.
-    """
-    ends, counts = np.cumsum(sizes), np.array(sizes)
-    out = [short_keys(hashes[e - n : e]) if n <= SHORT else [] for e, n in zip(ends.tolist(), sizes)]
-    h = np.array(hashes, np.uint64) * _ODD[0]
-    if len(h) < 3 or not (counts >= LONG).any():
-        return out
+def line_keys(hashes: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+    """Keys of consecutive runs of word hashes, of three or more each; odd ones are those of bags."""
+    ends = np.cumsum(sizes)
+    h = hashes * _ODD[0]
     h ^= h >> np.uint64(29)
     shingles = h[:-2] * _ODD[0] + h[1:-1] * _ODD[1] + h[2:] * _ODD[2]
     shingles ^= shingles >> np.uint64(31)
-    long = np.flatnonzero(counts >= LONG)
-    edges = np.stack([ends[long] - counts[long], ends[long] - 2], axis=1).ravel()  # shingles across two lines fall between
-    edges = edges[:-1] if edges[-1] >= len(shingles) else edges
-    least = np.empty((len(long), ROUNDS), np.uint64)
+    edges = np.stack([ends - sizes, ends - 2], axis=1).ravel()[:-1]  # shingles across two lines fall between
+    least = np.empty((len(sizes), ROUNDS), np.uint64)
     for k in range(ROUNDS):
         mixed = shingles * _ODD[3 + k]
         mixed ^= mixed >> np.uint64(32)
-        least[:, k] = np.minimum.reduceat(mixed, edges)[::2]
-    least = ((least * _ODD[:ROUNDS] >> np.uint64(32)) & np.uint64(0xFFFFFFFE)).astype(np.int64) - (1 << 31)
-    for i, keys in zip(long.tolist(), least.tolist()):
-        out[i] += set(keys)
-    return out
+        least[:, k] = np.minimum.reduceat(mixed, edges)[::2] * _ODD[k] & ~np.uint64(1)
+    out = least.view(np.int64).tolist()
+    for i in np.flatnonzero(sizes <= SHORT).tolist():
+        bag = hashes[ends[i] - sizes[i] : ends[i]]
+        total = bag.sum(dtype=np.uint64)
+        left = np.append(total - bag, total) * np.uint64(0x9E3779B97F4A7C15)
+        left ^= left >> np.uint64(32)
+        out[i] += (left | np.uint64(1)).view(np.int64).tolist()
+    return [list(dict.fromkeys(keys)) for keys in out]
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -171,20 +142,22 @@ def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def _lines(source: DataFrame, min_words: int, by_words: bool = False) -> DataFrame:
-    """``doc, text_key, start, end, line, fp`` for each line of enough words; ``keys`` also if ``by_words``."""
+def _lines(source: DataFrame) -> DataFrame:
+    """``doc, text_key, start, end, line`` for each line with words; once a batch also the line's ``fp`` and ``keys``."""
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    names = ["doc", "text_key", "start", "end", "line", "fp", *(["keys"] if by_words else [])]
+    names = ["doc", "text_key", "start", "end", "line", "fp", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, at, hashes, plain, sizes, which = [], {}, [], [], [], []
+        rows, seen, hashes, sizes, owners = [], set(), [], [], []
 
         def found() -> pa.RecordBatch:
-            fps = fingerprints(hashes, sizes)[which]
-            arrays = [*(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), pa.array(fps)]
-            if by_words:
-                arrays.append(pa.array(word_keys(plain, sizes), pa.list_(pa.int32())).take(pa.array(which)))
-            for held in (rows, at, hashes, plain, sizes, which):
+            fps, keys = [None] * len(rows), [None] * len(rows)
+            if sizes:
+                h, n = np.array(hashes, np.uint64), np.array(sizes)
+                for i, fp, k in zip(owners, fingerprints(h, n).view(np.int64).tolist(), line_keys(h, n)):
+                    fps[i], keys[i] = fp, k
+            arrays = [*(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            for held in (rows, seen, hashes, sizes, owners):
                 held.clear()
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -194,66 +167,67 @@ def _lines(source: DataFrame, min_words: int, by_words: bool = False) -> DataFra
                 start, text = 0, text or ""
                 for line, flat in zip(text.split("\n"), flatten(text).split(b"\n")):
                     end = start + len(line)
-                    words = bare(flat.split())
-                    if len(words) >= min_words:
+                    if words := bare(flat.split()):
                         digest = xxhash.xxh3_128_digest(b" ".join(words))
-                        if digest not in at:
-                            at[digest] = len(sizes)
-                            hashes += features(words)
-                            if by_words:
-                                plain += map(xxhash.xxh64_intdigest, words)
-                            sizes.append(len(words))
+                        if digest not in seen:
+                            seen.add(digest)
+                            if len(words) >= MIN_WORDS:
+                                owners.append(len(rows))
+                                sizes.append(len(words))
+                                hashes += map(xxhash.xxh64_intdigest, words)
                         rows.append((doc, key, start, end, digest))
-                        which.append(at[digest])
                     start = end + 1
                     if len(hashes) > _HELD or len(rows) > _HELD:
                         yield found()
         if rows:
             yield found()
 
-    return arrow(source, run, "doc long, text_key long, start int, end int, line binary, fp long" + ", keys array<int>" * by_words)
-
-
-def _block(fp: Column, k: int) -> Column:
-    first, width = BLOCKS[k]
-    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
+    return arrow(source, run, "doc long, text_key long, start int, end int, line binary, fp long, keys array<long>")
 
 
-def block_keys(fp: Column) -> Column:
-    """The six keys under which a fingerprint is posted."""
-    keys = [(_block(fp, i) * (1 << 11) + _block(fp, j) + (n << 24)).cast("int") for n, (i, j) in enumerate(PAIRS)]
-    return F.array(*keys)
+def _dealt(rows: DataFrame, by: Column, *columns: str) -> DataFrame:
+    """``rows(key, parts, ...)`` sorted by ``key, p, q``: a key of several parts goes out as all pairs of its parts."""
+    own = F.pmod(F.xxhash64(by), F.col("parts")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, own).alias("p"), F.greatest(p, own).alias("q")))
+    dealt = rows.withColumn("_cell", F.explode(cells)).select("key", "_cell.p", "_cell.q", *columns)
+    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
 
-def suspects(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``fp, key``: postings that share their key with another fingerprint within ``distance``.
+def with_partner(fps: np.ndarray, most: int) -> np.ndarray:
+    """Which of ``fps`` have another one within ``most`` bits."""
+    out, left = np.zeros(len(fps), bool), np.arange(len(fps))
+    while len(left):
+        i, left = left[0], left[1:]
+        near = np.bitwise_count(fps ^ fps[i]) <= most
+        near[i] = False
+        if near.any():
+            near[i] = True
+            out |= near  # partners of this one have a partner
+            left = left[~out[left]]
+    return out
 
-    ``fps(fp, lines)``; a fingerprint of several lines is posted under its first key at least. A
-    semi join stops at the first partner, so the pairs of a large group are never listed.
-    """
-    posted = fps.select("fp", F.explode(block_keys(F.col("fp"))).alias("key"))
-    other = posted.select(F.col("fp").alias("b"), F.col("key").alias("_key"))
-    near = (F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= distance)
-    found = posted.join(other, (F.col("key") == F.col("_key")) & near, "left_semi")
-    several = fps.where("lines > 1").select("fp", block_keys(F.col("fp"))[0].alias("key"))
-    return found.union(several).distinct()
 
+def suspects(distinct: DataFrame) -> DataFrame:
+    """``key, parts, id``: lines of ``distinct(id, fp, keys)`` that share a key with another line near enough."""
+    posted = distinct.select("id", "fp", F.explode("keys").alias("key"))
+    shared = table(posted.groupBy("key").agg(F.ceil(F.count("*") / _PART).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    rows = _dealt(posted.join(shared, "key"), F.col("id"), "parts", "id", "fp")
 
-def word_suspects(lines: DataFrame) -> DataFrame:
-    """``line, fp, key``: postings of ``lines(line, fp, keys)`` that share their key with another line.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for starts, ends, (key, _, _, parts, ids, fps) in whole_groups(batches, 3):
+            bits, picked = fps.view(np.uint64), np.zeros(len(ids), bool)
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                if e - s > 1:
+                    picked[s:e] = True if key[s] & 1 else with_partner(bits[s:e], WIDE)
+            yield pa.RecordBatch.from_arrays([pa.array(c[picked]) for c in (key, parts, ids)], names=["key", "parts", "id"])
 
-    Partners under even keys lie within ``WIDE`` bits, under odd ones at any distance.
-    """
-    posted = lines.select("line", "fp", F.explode("keys").alias("key"))
-    other = posted.select(F.col("line").alias("b"), F.col("fp").alias("_fp"), F.col("key").alias("_key"))
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("_fp"))) <= WIDE) | (F.col("key").bitwiseAND(F.lit(1)) == 1)
-    return posted.join(other, (F.col("key") == F.col("_key")) & near & (F.col("line") != F.col("b")), "left_semi")
+    return arrow(rows, run, "key long, parts int, id long").distinct()
 
 
 def _texts(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``line, norm`` for the lines whose first occurrence is in ``wanted(line, doc, text_key, start, end)``."""
-    docs = df.select(*document_keys(id_col, text_col), F.col(text_col).cast("string").alias("_text"))
     place = F.xxhash64("doc", "text_key")
+    docs = keyed_texts(df, id_col, text_col)
     hit = Members(wanted.select(place.alias("_place_key")), "_place_key").mark(docs, place, "_maybe").where("_maybe").drop("_maybe")
     at = wanted.withColumnRenamed("doc", "_doc").withColumnRenamed("text_key", "_key")
     joined = hit.join(at, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")))
@@ -267,14 +241,17 @@ def _texts(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Data
     return arrow(cutout, run, "line binary, norm string")
 
 
-def bucket_links(fps: np.ndarray, lines: list[bytes], norms: list[str], similarity: float, distance: int = DISTANCE) -> list[tuple[bytes, bytes]]:
+def key_links(
+    key: int, fps: np.ndarray, lines: list[bytes], norms: list[str], keys: list[set[int]], similarity: float
+) -> list[tuple[bytes, bytes]]:
     """Verified links that connect whatever all verified links among these lines connect.
 
     Lines already connected are not compared again, so a group of near copies costs one
-    verification a line instead of one a pair, and gives one link a line.
+    verification a line instead of one a pair, and gives one link a line. A pair is left to the first key that both have.
     """
     order = np.argsort(fps, kind="stable")
     bits, root, out = fps[order].view(np.uint64), list(range(len(order))), []
+    most = 64 if key & 1 else WIDE
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -283,98 +260,64 @@ def bucket_links(fps: np.ndarray, lines: list[bytes], norms: list[str], similari
         return i
 
     for i in range(1, len(order)):
-        near = np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]) <= distance)
-        for j in near[::-1]:
-            a, b = top(i), top(int(j))
-            if a != b and similar(norms[order[i]], norms[order[j]], similarity):
+        near = np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]) <= most)
+        for j in near[::-1].tolist():
+            a, b = top(i), top(j)
+            x, y = order[i], order[j]
+            if a != b and min(keys[x] & keys[y]) == key and similar(norms[x], norms[y], similarity):
                 root[a] = b
-                out.append((lines[order[i]], lines[order[j]]))
+                out.append((lines[x], lines[y]))
     return out
 
 
-def _links(entries: DataFrame, similarity: float, by_words: bool = False) -> DataFrame:
-    """Links ``(a, b)`` between lines of ``entries(key, line, fp, norm)`` that share a key."""
-    sizes = entries.groupBy("key").agg(F.ceil(F.count("*") / _PART).cast("int").alias("parts"))
-    dealt = entries.join(sizes, "key")
-    own = F.pmod(F.xxhash64("line"), F.col("parts")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("_own")).alias("p"), F.greatest(p, F.col("_own")).alias("q")))
-    dealt = dealt.withColumn("_own", own).withColumn("_pair", F.explode(pair)).select("key", "_pair", "line", "fp", "norm")
-
-    ordered = dealt.select("key", "_pair.p", "_pair.q", "line", "fp", "norm").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+def _links(entries: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` between lines of ``entries(key, parts, line, fp, norm, mates)`` that share a key."""
+    rows = _dealt(entries, F.col("line"), "line", "fp", "norm", "mates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One bucket after the other; a bucket may run on into the next batch."""
-        at, fps, lines, norms, out = None, [], [], [], []
+        for starts, ends, (key, _, _, line, fps, norm, mates) in whole_groups(batches, 3):
+            out = []
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                if e - s > 1:
+                    sets = [set(m.tolist()) for m in mates[s:e]]
+                    out += key_links(int(key[s]), fps[s:e], line[s:e].tolist(), norm[s:e].tolist(), sets, similarity)
+            a, b = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-        def linked() -> list[tuple[bytes, bytes]]:
-            most = DISTANCE if not by_words else 64 if at[0] & 1 else WIDE
-            return bucket_links(np.array(fps, np.int64), lines, norms, similarity, most)
+    return arrow(rows, run, "a binary, b binary")
 
-        def rows() -> pa.RecordBatch:
-            a, b = zip(*out) if out else ((), ())
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-        for batch in batches:
-            for *key, line, fp, norm in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != at:
-                    if len(fps) > 1:
-                        out += linked()
-                    at, fps, lines, norms = key, [], [], []
-                fps.append(fp)
-                lines.append(line)
-                norms.append(norm)
-            yield rows()
-        if len(fps) > 1:
-            out += linked()
-        yield rows()
-
-    return arrow(ordered, run, "a binary, b binary")
-
-
-def repeated_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
-    candidates: str = "fingerprint",
-) -> DataFrame:
+def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Each line that is not the first of its group: ``doc, text_key, start, end, first_doc, first_start``."""
-    if candidates not in ("fingerprint", "words"):
-        raise ValueError(f"unknown candidates {candidates!r}; known: fingerprint, words")
-    by_words = candidates == "words"
-    source = df.select(*document_keys(id_col, text_col), F.col(text_col).cast("string").alias("_text"))
-    lines = table(_lines(source, min_words, by_words))
-    kept = [F.first(c).alias(c) for c in ("fp", *(["keys"] if by_words else []))]
-    distinct = table(lines.groupBy("line").agg(*kept, F.min(in_order("start", "text_key", "end")).alias("first"), F.count("*").alias("n")))
-
-    if by_words:
-        posted = table(word_suspects(distinct)).join(distinct.select("line", "first"), "line")
-    else:
-        groups = table(distinct.groupBy("fp").agg(F.count("*").alias("lines")))
-        posted = suspects(groups).join(distinct.select("fp", "line", "first"), "fp")
-    posted = table(posted.select("key", "line", "fp", "first.doc", "first.text_key", "first.start", "first.end"))
-    wanted = posted.select("line", "doc", "text_key", "start", "end").distinct()
-    texts = table(_texts(df, table(wanted), id_col, text_col))
-    entries = table(posted.select("key", "line", "fp").join(texts, "line"))
-    labels = connected_components(_links(entries, similarity, by_words).distinct())
-    named = distinct.join(labels, F.col("line") == F.col("node"), "left").select(
-        "line", "first", "n", F.coalesce("component", "line").alias("label")
+    lines = table(_lines(keyed_texts(df, id_col, text_col)))
+    firsts = lines.groupBy("line").agg(
+        *(F.first(c, ignorenulls=True).alias(c) for c in ("fp", "keys")), F.min(in_order("start", "text_key", "end")).alias("first"), F.count("*").alias("n")
     )
-    named = table(named)
-    best = named.groupBy("label").agg(F.min("first").alias("best"), F.sum("n").alias("total")).where("total > 1")
-    verdict = table(named.join(best, "label").select("line", "best"))
+    distinct = table(firsts.withColumn("id", F.xxhash64("line")))
+
+    near = table(suspects(distinct.where("keys is not null")))
+    mates = near.groupBy("id").agg(F.collect_list(F.struct("key", "parts")).alias("at"))
+    met = table(distinct.drop("keys").join(mates, "id").select("line", "fp", "at", "first.doc", "first.text_key", "first.start", "first.end"))
+    texts = table(_texts(df, met, id_col, text_col))
+    entries = met.join(texts, "line").select("line", "fp", "norm", F.col("at.key").alias("mates"), F.explode("at").alias("_at"))
+    labels = connected_components(_links(entries.select("_at.key", "_at.parts", "line", "fp", "norm", "mates"), similarity).distinct())
+
+    named = table(distinct.select("line", "first", "n").join(labels, F.col("line") == F.col("node"), "left").select("line", "first", "n", "component"))
+    alone = named.where("component is null and n > 1").select("line", F.col("first").alias("best"))
+    grouped = named.where("component is not null")
+    best = grouped.groupBy("component").agg(F.min("first").alias("best"))
+    verdict = table(alone.unionByName(grouped.join(best, "component").select("line", "best")))
     same = F.col("doc").eqNullSafe(F.col("best.doc")) & (F.col("start") == F.col("best.start")) & (F.col("text_key") == F.col("best.text_key"))
-    later = lines.join(verdict, "line").where(~same)
+    later = lines.select("doc", "text_key", "start", "end", "line").join(verdict, "line").where(~same)
     return later.select("doc", "text_key", "start", "end", F.col("best.doc").alias("first_doc"), F.col("best.start").alias("first_start"))
 
 
-def line_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
-    candidates: str = "fingerprint",
-) -> DataFrame:
+def _as_found(text: str, marks: list[dict]) -> list[tuple[int, int]]:
+    return [(m["start"], m["end"]) for m in marks]
+
+
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``df`` with one occurrence of each group of lines, and ``removed``: the spans cut from the original."""
-    later = repeated_lines(df, id_col, text_col, min_words, similarity, candidates)
+    later = repeated_lines(df, id_col, text_col, similarity)
     marks = later.groupBy("doc", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).cast(REMOVED).alias("marks"))
     return cut(df, marks, id_col, text_col, _as_found)
-
-
-def _as_found(text: str, marks: list[dict]) -> list[tuple[int, int]]:
-    return [(m["start"], m["end"]) for m in marks]

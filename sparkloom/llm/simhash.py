@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import arrow, map_arrow
+from sparkloom.llm.common import arrow, map_arrow, whole_groups
 from sparkloom.operators.components import connected_components
 from sparkloom.storage import table
 
@@ -158,34 +158,14 @@ def near_links(fps: DataFrame, distance: int = 2, segments: int = 2, part: int =
     rows = rows.repartition(*at).sortWithinPartitions(*at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def links(keys: np.ndarray, entry: np.ndarray, probe: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
-            """Of whole places, one after the other."""
-            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, int)
-            sizes = np.diff(np.r_[starts, len(keys)])
-            filled = np.add.reduceat(entry.astype(np.int64), starts) if len(starts) else starts
-            out = []
-            for s, n in zip(starts[(sizes > 1) & (filled > 0)], sizes[(sizes > 1) & (filled > 0)]):
-                here = slice(s, s + n)
+        for starts, ends, (*_, entry, probe, fp) in whole_groups(batches, len(at)):
+            entry, probe, fp, out = entry.astype(bool), probe.astype(bool), fp.view(np.uint64), []
+            filled = np.add.reduceat(entry.astype(np.int64), starts)
+            for i in np.flatnonzero((ends - starts > 1) & (filled > 0)):
+                here = slice(starts[i], ends[i])
                 out += place_links(fp[here][entry[here]], fp[here][probe[here]], distance)
-            return out
-
-        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            now = [np.stack([c.astype(np.int64) for c in columns[:4]], 1), columns[4].astype(bool), columns[5].astype(bool), columns[6].view(np.uint64)]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            last = int(np.flatnonzero((held[0] == held[0][-1]).all(1))[0])  # the last place may go on
-            yield batch_of(links(*(x[:last] for x in held)))
-            held = [x[last:] for x in held]
-        if held is not None:
-            yield batch_of(links(*held))
+            pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return arrow(rows, run, "a long, b long").where("a != b").distinct()
 

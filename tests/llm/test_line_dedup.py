@@ -1,5 +1,7 @@
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ def test_similarity_limit_is_inclusive():
     assert not L.similar("abcd", "abcx")
 
 
-def brute(rows, min_words=L.MIN_WORDS):
-    """All line pairs compared; first occurrence of each connected group."""
+def brute(rows):
+    """All line pairs compared by edit similarity alone; first occurrence of each connected group."""
     seen, found = set(), []
     for doc, text in rows:
         if (doc, text) in seen or text is None:
@@ -42,9 +44,8 @@ def brute(rows, min_words=L.MIN_WORDS):
         seen.add((doc, text))
         start = 0
         for line in text.split("\n"):
-            w = L.normalise(line)
-            if len(w) >= min_words:
-                found.append(((doc is None, doc or 0, start), doc, start, b" ".join(w).decode(), L.fingerprints(L.features(w), [len(w)])[0]))
+            if w := L.normalise(line):
+                found.append(((doc is None, doc or 0, start), doc, start, b" ".join(w).decode(), len(w)))
             start += len(line) + 1
     parent = list(range(len(found)))
 
@@ -56,7 +57,7 @@ def brute(rows, min_words=L.MIN_WORDS):
     for i, x in enumerate(found):
         for j in range(i):
             y = found[j]
-            if x[3] == y[3] or (bin((int(x[4]) ^ int(y[4])) & (2**64 - 1)).count("1") <= 3 and L.similar(x[3], y[3])):
+            if x[3] == y[3] or (min(x[4], y[4]) >= L.MIN_WORDS and L.similar(x[3], y[3])):
                 parent[root(i)] = root(j)
     groups = {}
     for i, x in enumerate(found):
@@ -66,7 +67,7 @@ def brute(rows, min_words=L.MIN_WORDS):
 
 def rows_for_test():
     rng = random.Random(9)
-    vocab = [f"word{i}" for i in "abcdefghijklmnopqrstuvwxyz"]
+    vocab = ["".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randrange(3, 9))) for _ in range(300)]
     long = " ".join(rng.choice(vocab) for _ in range(150))
     near = long.replace(long.split()[70], "changed", 1)
     base = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 9))) for _ in range(30)]
@@ -136,18 +137,57 @@ def edited_lines():
     return pairs
 
 
-def test_word_candidates_find_what_edit_similarity_alone_finds(spark):
+def test_links_are_what_edit_similarity_alone_finds(spark):
     pairs = edited_lines()
     rows = [(i + 1000 * k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
     similar = {(i, j) for i, (_, a) in enumerate(rows) for j, (_, b) in enumerate(rows[:i]) if L.similar(a, b)}
     want = {rows[i][0] for i, _ in similar}
     assert len(want) > 40 and all(rows[i][0] - rows[j][0] == 1000 for i, j in similar)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = lambda **more: {r.doc_id for r in L.line_dedup(df, **more).collect() if r.removed}
-    got = found(candidates="words")
-    assert got <= want and len(got) >= 0.98 * len(want)
-    with pytest.raises(ValueError, match="unknown candidates"):
-        L.line_dedup(df, candidates="page")
+    got = {r.doc_id for r in L.line_dedup(df).collect() if r.removed}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_recall_on_documents_against_all_pairs(spark):
+    """Lines of the documents with each other, by edit similarity alone; no fingerprint, no key."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    lines = sorted({b" ".join(w).decode() for r in docs.collect() for t in (r.text or "").split("\n") if len(w := L.normalise(t)) >= L.MIN_WORDS})
+    some = [x for x in lines if 20 <= len(x) <= 220 and zlib.crc32(x.encode()) % 4 == 0]
+    counts = np.zeros((len(lines), 32), np.int32)
+    for i, x in enumerate(lines):
+        counts[i] = np.bincount(np.frombuffer(x.encode(), np.uint8) % 32, minlength=32)
+    place, length, pairs = {x: i for i, x in enumerate(lines)}, np.array([len(x) for x in lines]), []
+    for x in some:
+        i = place[x]
+        apart = counts - counts[i]  # an edit changes two bytes at most by one place each, of two-byte characters two
+        least = np.maximum(np.where(apart > 0, apart, 0).sum(1), np.where(apart < 0, -apart, 0).sum(1))
+        for j in np.flatnonzero(least <= 0.4 * np.maximum(length, length[i])).tolist():
+            if i != j and L.similar(x, lines[j]):
+                pairs.append((i, j))
+    assert len(pairs) >= 40
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    later = {(r.doc, r.first_doc) for r in L.repeated_lines(df).select("doc", "first_doc").collect()}
+    group = {i: i for i in range(len(lines))} | dict(later)
+    found = sum(group[i] == group[j] for i, j in pairs)
+    assert found >= 0.9 * len(pairs), (found, len(pairs))
+
+
+def test_fingerprints_match_plain_counts():
+    rng = random.Random(1)
+    runs = [[rng.getrandbits(64) for _ in range(n)] for n in (3, 1, 700, 255, 256, 40)]
+    got = L.fingerprints(np.array(sum(runs, []), np.uint64), np.array([len(r) for r in runs]))
+    assert [int(x) for x in got] == [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r) > len(r)) for r in runs]
+
+
+def test_suspects_are_lines_with_a_partner(spark, monkeypatch):
+    monkeypatch.setattr(L, "_PART", 3)
+    rng = random.Random(6)
+    base = [rng.getrandbits(60) for _ in range(6)]
+    fps = [b ^ sum(1 << k for k in rng.sample(range(60), rng.randrange(24))) for b in base for _ in range(8)]
+    rows = [(i, fp, sorted({2 * rng.randrange(8), 2 * rng.randrange(8), 101 if i % 9 == 0 else 2})) for i, fp in enumerate(fps)]
+    got = {(r.key, r.id) for r in L.suspects(spark.createDataFrame(rows, "id long, fp long, keys array<long>")).collect()}
+    near = lambda k, a, b: k % 2 or (a ^ b).bit_count() <= L.WIDE
+    assert got == {(k, i) for i, a, ks in rows for k in ks if any(j != i and k in other and near(k, a, b) for j, b, other in rows)}
 
 
 def test_query_links_lines_beyond_three_bits(spark, tmp_path):
