@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ from sparkloom.llm.common import arrow
 
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 4000, 6000, 16_000
 THRESHOLD = 0.3
-#: Words in a window, groups of toxic documents, and bytes of ordinary and of toxic text in a dictionary.
-VIEWS = ((5, 12, 512 * 1024, 96 * 1024), (2, 6, 64 * 1024, 16 * 1024))
+#: Words in a window, windows in a stretch, groups of toxic documents, bytes of ordinary and of toxic text in a dictionary.
+VIEWS = ((5, 7, 12, 256 * 1024, 64 * 1024), (2, 7, 5, 64 * 1024, 16 * 1024))
 #: Rounds of refinement; the share of ordinary windows below its threshold, and how many of them are looked at.
 ROUNDS, QUANTILE, LOOKED_AT = 3, 0.998, 40_000
 LEVEL = 3
@@ -58,8 +59,9 @@ def _words(text: str | None) -> list[bytes]:
 
 def windows(words: list[bytes], width: int) -> Iterator[bytes]:
     """Each run of ``width`` words with its borders; a shorter text is one window."""
+    joined, edges = b" " + b" ".join(words) + b" ", [0, *accumulate(len(w) + 1 for w in words)]
     for k in range(max(1, len(words) - width + 1) if words else 0):
-        yield b" " + b" ".join(words[k : k + width]) + b" "
+        yield joined[edges[k] : edges[min(k + width, len(words))] + 1]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -79,26 +81,40 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 
 
 class View:
-    """Advantages of windows of one width."""
-
-    def __init__(self, width: int, ordinary: bytes, toxic: list[bytes]) -> None:
-        self.width = width
-        self.ordinary = _compressor(ordinary)
-        self.toxic = [_compressor(ordinary + t) for t in toxic]
+    """Advantages of windows of one width.
+
+    Stretches of ``stretch`` windows are compressed first, and only those on whose
+    advantage all toxic dictionaries agree are looked at window by window.
+    """
+
+    def __init__(self, width: int, stretch: int, ordinary: bytes, toxic: list[bytes]) -> None:
+        self.width, self.stretch = width, stretch
+        self.ordinary = _compressor(ordinary).compress
+        self.toxic = [_compressor(ordinary + t).compress for t in toxic]
+
+    def least(self, text: bytes, toxic: list) -> int:
+        """By how much every one of ``toxic`` makes ``text`` shorter; not above zero as soon as one does not."""
+        usual, out = len(self.ordinary(text)), 99
+        for compress in toxic:
+            gain = usual - len(compress(text))
+            if gain < out:
+                if gain <= 0:
+                    return gain
+                out = gain
+        return out
 
     def advantages(self, words: list[bytes], but: int = -1) -> list[tuple[bytes, int]]:
         """Windows that every toxic dictionary (leaving out number ``but``) makes shorter, and by how much at least."""
-        plain, others = self.ordinary.compress, [t.compress for k, t in enumerate(self.toxic) if k != but]
+        toxic, width, last = [t for k, t in enumerate(self.toxic) if k != but], self.width, len(words)
+        joined, edges = b" " + b" ".join(words) + b" ", [0, *accumulate(len(w) + 1 for w in words)]
         out = []
-        for window in windows(words, self.width):
-            usual = len(plain(window))
-            least = 99
-            for compress in others:
-                least = min(least, usual - len(compress(window)))
-                if least <= 0:
-                    break
-            else:
-                out.append((window, least))
+        for k in range(0, max(1, last - width + 1) if words else 0, self.stretch):
+            end = min(k + width + self.stretch - 1, last)
+            if self.least(joined[edges[k] : edges[end] + 1], toxic) > 0:
+                for i in range(k, max(k + 1, end - width + 1)):
+                    window = joined[edges[i] : edges[min(i + width, last)] + 1]
+                    if (gain := self.least(window, toxic)) > 0:
+                        out.append((window, gain))
         return out
 
     def features(self, words: list[bytes]) -> list[float]:
@@ -114,7 +130,9 @@ def _samples(windows: list[bytes], rng: np.random.Generator) -> list[bytes]:
     return [b"".join(windows[i] for i in order[k : k + 8]) for k in range(0, len(order), 8)]
 
 
-def _view(width: int, groups: int, base: int, size: int, toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[int, bytes, list[bytes]]:
+def _view(
+    width: int, stretch: int, groups: int, base: int, size: int, toxic: list[list[bytes]], ordinary: list[list[bytes]]
+) -> tuple[int, int, bytes, list[bytes]]:
     """Train one view from the words of toxic and of ordinary documents."""
     rng = np.random.default_rng(11)
     groups = max(1, min(groups, len(toxic) // 4))
@@ -122,7 +140,7 @@ def _view(width: int, groups: int, base: int, size: int, toxic: list[list[bytes]
     dealt = [toxic[k::groups] for k in range(groups)]
     kept = [[x for words in group for x in windows(words, width)] for group in dealt]
     for round_ in range(ROUNDS + 1):
-        view = View(width, plain, contents := [_dictionary(_samples(k, rng), size) for k in kept])
+        view = View(width, 1, plain, contents := [_dictionary(_samples(k, rng), size) for k in kept])
         if groups == 1 or round_ == ROUNDS:
             break
         refined = []
@@ -140,7 +158,7 @@ def _view(width: int, groups: int, base: int, size: int, toxic: list[list[bytes]
         if min(map(len, refined)) < 5:
             break
         kept = refined
-    return width, plain, contents
+    return width, stretch, plain, contents
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-1, rounds: int = 60) -> np.ndarray:
