@@ -1,13 +1,13 @@
 """Fuzzy line deduplication.
 
-Lines are normalised (lower case, digits as 0, no punctuation at the ends of words, single spaces) and equal ones
+Lines are normalised (lower case, digits as 0, no ASCII punctuation, single spaces) and equal ones
 collapse by digest. Each distinct line of ``MIN_WORDS`` words or more gets a SimHash over its words and a few keys. Lines
 that share a key and whose fingerprints differ in at most ``WIDE`` bits are verified by the edit similarity of
 the normalised lines, at least ``SIMILARITY``. Of each connected group of lines the occurrence first in
 order of doc_id and offset stays.
 
 A pigeonhole over blocks of the fingerprint itself cannot give right results: lines of edit similarity 0.8
-lie up to 18 of 64 bits apart, which leaves blocks of three bits. The keys are therefore pigeonholes over the words: the
+lie up to 16 of 64 bits apart, which leaves blocks of three bits. The keys are therefore pigeonholes over the words: the
 least of ``ROUNDS`` hashes of three-word shingles, one of which survives the edits; and for lines of up to ``SHORT`` words
 the bag of words, whole and without each one of them, where any fingerprint is a partner. Lines edited in
 most of their words can still miss each other.
@@ -40,7 +40,7 @@ from sparkloom.storage import table
 
 SIMILARITY = 0.8
 #: Words of a line that is compared by similarity, words up to which its bag counts, minhashes, and bits of difference.
-MIN_WORDS, SHORT, ROUNDS, WIDE = 3, 9, 4, 18
+MIN_WORDS, SHORT, ROUNDS, WIDE = 3, 9, 4, 16
 #: Word hashes, or lines, held at once by a task.
 _HELD = 100_000
 #: Lines under one key that a task compares; larger keys are dealt out as pairs of parts.
@@ -53,18 +53,13 @@ _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorde
 
 
 def flatten(text: str) -> bytes:
-    """Lower case, digits as 0, in UTF-8; line breaks stay where they are in number."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_DIGITS)
-
-
-def bare(words: list[bytes]) -> list[bytes]:
-    """Words without punctuation at their ends, those of nothing else left out."""
-    return [x for x in [w.strip(_MARKS) for w in words] if x]
+    """Lower case, digits as 0, without ASCII punctuation, in UTF-8; line breaks stay where they are in number."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_DIGITS, _MARKS)
 
 
 def normalise(line: str) -> list[bytes]:
     """Words of the normalised line, in UTF-8."""
-    return bare(flatten(line).split())
+    return flatten(line).split()
 
 
 def fingerprints(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -162,12 +157,11 @@ def _lines(source: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
-            for row in range(batch.num_rows):
-                doc, key, text = (c[row].as_py() for c in batch.columns)
+            for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 start, text = 0, text or ""
                 for line, flat in zip(text.split("\n"), flatten(text).split(b"\n")):
                     end = start + len(line)
-                    if words := bare(flat.split()):
+                    if words := flat.split():
                         digest = xxhash.xxh3_128_digest(b" ".join(words))
                         if digest not in seen:
                             seen.add(digest)
@@ -241,6 +235,11 @@ def _texts(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Data
     return arrow(cutout, run, "line binary, norm string")
 
 
+def letter_counts(norms: list[str]) -> np.ndarray:
+    """How often the characters of each of 64 classes stand in each text; one edit changes one count by one, or two."""
+    return np.array([np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64) for x in norms], np.int32)
+
+
 def key_links(
     key: int, fps: np.ndarray, lines: list[bytes], norms: list[str], keys: list[set[int]], similarity: float
 ) -> list[tuple[bytes, bytes]]:
@@ -251,7 +250,7 @@ def key_links(
     """
     order = np.argsort(fps, kind="stable")
     bits, root, out = fps[order].view(np.uint64), list(range(len(order))), []
-    most = 64 if key & 1 else WIDE
+    most, letters, sizes = 64 if key & 1 else WIDE, None, np.array([len(norms[x]) for x in order])
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -261,6 +260,11 @@ def key_links(
 
     for i in range(1, len(order)):
         near = np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]) <= most)
+        if len(near) > 2:  # edits are at least the letters that one has more of
+            letters = letter_counts([norms[x] for x in order]) if letters is None else letters
+            more = letters[near] - letters[i]
+            edits = np.maximum(np.where(more > 0, more, 0).sum(1), np.where(more < 0, -more, 0).sum(1))
+            near = near[edits <= (1 - similarity) * np.maximum(sizes[near], sizes[i]) + 1e-9]
         for j in near[::-1].tolist():
             a, b = top(i), top(j)
             x, y = order[i], order[j]
