@@ -68,7 +68,7 @@ def neighbors_within(seeds: DataFrame, edges: DataFrame, hops: int, key: str = "
     """``start, node, distance, route``: all nodes at most ``hops`` away, with their shortest route.
 
     ``seeds`` has column ``key``. The route is the least of the shortest ones in order of its steps, as a queue over sorted
-    steps would find it. One join per level; visited nodes are dropped before they are walked on. Filter
+    steps would find it. One join per level, until one adds no node; visited nodes are dropped before they are walked on. Filter
     types on the result: a walk may cross any type.
     """
     walk = table(steps(edges))
@@ -81,6 +81,8 @@ def neighbors_within(seeds: DataFrame, edges: DataFrame, hops: int, key: str = "
         reached = reached.select("start", F.col("target").alias("node"), F.concat("route", F.array(_step_key())).alias("route"))
         fresh = reached.join(visited.select("start", "node"), ["start", "node"], "left_anti")
         frontier = table(fresh.groupBy("start", "node").agg(F.min("route").alias("route")).select("start", "node", F.lit(level).alias("distance"), "route"))
+        if frontier.isEmpty():
+            break
         visited = visited.union(frontier)
     return visited.where("distance > 0")
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sparkloom.functions.text import tokens
 from sparkloom.functions.vectors import dot
@@ -14,6 +20,8 @@ K1, B, TOP_K, ALPHA, THRESHOLD = 1.5, 0.75, 5, 0.65, 0.25
 DIGITS = 9
 #: Queries sent to every executor at once; more go through in blocks.
 BLOCK = 2000
+#: Questions in a block of the lexical search, and cells of a matrix of chunks by terms.
+ASKED, _CELLS = 500, 4_000_000
 
 
 def _top(scored: DataFrame, query: str, order: str, k: int) -> DataFrame:
@@ -47,44 +55,89 @@ def cosine_topk(
 
 
 class BM25:
-    """Inverted index over chunks, written once: ``postings(key, term, tf)``, ``lengths(key, order, length)``, ``idf(term, df, idf)``."""
+    """Index over chunks, written once: ``docs(key, order, terms, length)`` and ``idf(term, df, idf)``; ``postings`` on demand."""
 
     def __init__(self, chunks: DataFrame, key: str = "chunk_id", text: str = "text", order: str = "doc_ord", k1: float = K1, b: float = B) -> None:
         self.key, self.order, self.k1, self.b = key, order, k1, b
         words = chunks.select(F.col(key).alias("_k"), F.col(order).alias("_o"), tokens(F.col(text)).alias("_t"))
-        self.lengths = table(words.select("_k", "_o", F.size("_t").alias("length")))
-        self.postings = table(words.select("_k", F.explode("_t").alias("term")).groupBy("_k", "term").agg(F.count("*").alias("tf")))
-        self.stats = self.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg_len"))
-        df = self.postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.stats))
+        self.docs = table(words.withColumn("length", F.size("_t")))
+        self.stats = self.docs.agg(F.count("*").alias("n"), F.avg("length").alias("avg_len"))
+        df = self.docs.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.stats))
         self.idf = df.select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
+    @property
+    def postings(self) -> DataFrame:
+        return self.docs.select("_k", F.explode("_t").alias("term")).groupBy("_k", "term").agg(F.count("*").alias("tf"))
+
     def search(self, queries: DataFrame, query: str = "q", text: str = "text", k: int = TOP_K) -> DataFrame:
         """``query, key, score, rank``: a query's repeats of a term count, chunks without any of its terms score zero.
 
-        Postings meet queries on the term; zero-score chunks are only brought in for queries
+        Exact: a stated set of queries, in blocks of ``ASKED``, is held against every chunk where it lies. A block's terms by its
+        queries make one matrix, a run of chunks by these terms another, and their product
+        all scores; each run keeps its own best ``k`` a query before anything is shuffled, and no posting
+        list is ever gathered. Zero-score chunks are only brought in for queries
         with fewer than ``k`` hits, from the first ``k`` chunks in order that each query left out.
         """
-        asked = queries.select(F.col(query).alias("_q"), F.explode(tokens(F.col(text))).alias("term")).groupBy("_q", "term").agg(F.count("*").alias("m"))
-        wanted = asked.select("term").distinct()
-        idf = self.idf.join(wanted, "term", "left_semi")
-        norm = self.k1 * (1 - self.b + self.b * F.col("length") / F.col("avg_len"))
-        weights = (
-            self.postings.join(idf, "term")
-            .join(self.lengths, "_k")
-            .crossJoin(F.broadcast(self.stats.select("avg_len")))
-            .select("_k", "_o", "term", (F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + norm)).alias("w"))
-        )
-        hits = asked.join(weights, "term").groupBy("_q", "_k", "_o").agg(F.round(F.sum(F.col("m") * F.col("w")), DIGITS).alias("score"))
-        top = _top(hits, "_q", "_o", k)
+        asked = table(queries.select(F.col(query).alias("_q"), F.explode(tokens(F.col(text))).alias("term")).groupBy("_q", "term").agg(F.count("*").alias("m")))
+        weighed = table(asked.join(self.idf, "term").select("_q", "term", "m", "idf"))
+        blocks = max(1, -(-queries.count() // ASKED))
+        mean = self.stats.first()["avg_len"] or 1.0
+        hits = None
+        for i in range(blocks):
+            block = weighed.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == i).collect()  # the terms of about ASKED queries
+            found = self._scored(block, weighed.schema["_q"].dataType, mean, k)
+            hits = found if hits is None else hits.union(found)
+        top = table(_top(hits, "_q", "_o", k))
         found = top.groupBy("_q").agg(F.count("*").alias("have"))
         short = queries.select(F.col(query).alias("_q")).join(found, "_q", "left").where(F.coalesce("have", F.lit(0)) < k)
         # at most k of a query's hits can stand among the first 2k chunks without filling its list
-        first = self.lengths.orderBy("_o").limit(2 * k).select("_k", "_o")
+        first = self.docs.orderBy("_o").limit(2 * k).select("_k", "_o")
         zero = short.select("_q").crossJoin(F.broadcast(first)).join(top.select("_q", "_k"), ["_q", "_k"], "left_anti").withColumn("score", F.lit(0.0))
         return _top(top.drop("rank").unionByName(zero), "_q", "_o", k).select(
             F.col("_q").alias(query), F.col("_k").alias(self.key), "score", "rank"
         )
 
+    def _scored(self, block: list, query_type, mean: float, k: int) -> DataFrame:
+        """``_q, _k, _o, score``: the best ``k`` chunks of each run for the queries of a block."""
+        names = sorted({r["_q"] for r in block})
+        terms = {t: i for i, t in enumerate(sorted({r["term"] for r in block}))}
+        place = {q: i for i, q in enumerate(names)}
+        asked = np.zeros((len(terms), len(names)))
+        for r in block:
+            asked[terms[r["term"]], place[r["_q"]]] = r["m"] * r["idf"]
+        given = self.docs.sparkSession.sparkContext.broadcast((names, terms, asked))
+        k1, b, run = self.k1, self.b, max(1, _CELLS // max(1, len(terms)))
+
+        def best(batches):
+            names, terms, asked = given.value
+            for batch in batches:
+                for at in range(0, batch.num_rows if names else 0, run):
+                    rows = batch.slice(at, run)
+                    keys, orders, tokens_, lengths = rows.columns
+                    weights = np.zeros((rows.num_rows, len(terms)))
+                    for i, (words, length) in enumerate(zip(tokens_.to_pylist(), lengths.to_pylist())):
+                        norm = k1 * (1 - b + b * length / mean)
+                        for word, tf in Counter(filter(terms.__contains__, words)).items():
+                            weights[i, terms[word]] = tf * (k1 + 1) / (tf + norm)
+                    scores = np.round(weights @ asked, DIGITS)
+                    order = np.array(orders.to_pylist(), object)
+                    row, col = [], []
+                    for q in range(len(names)):
+                        s = scores[:, q]
+                        least = max(np.partition(s, -k)[-k] if len(s) > k else 0.0, 0.0)
+                        near = np.flatnonzero((s >= least) & (s > 0))
+                        if len(near) > k:
+                            near = near[sorted(range(len(near)), key=lambda j: (-s[near[j]], order[near[j]]))[:k]]
+                        row.append(near)
+                        col.append(np.full(len(near), q))
+                    row, col = np.concatenate(row), np.concatenate(col)
+                    picked = [pa.array([names[q] for q in col], query_kind), keys.take(pa.array(row)), orders.take(pa.array(row)), pa.array(scores[row, col])]
+                    yield pa.RecordBatch.from_arrays(picked, names=["_q", "_k", "_o", "score"])
+
+        query_kind = to_arrow_type(query_type)
+        schema = StructType([StructField("_q", query_type), self.docs.schema["_k"], self.docs.schema["_o"], StructField("score", DoubleType())])
+        return self.docs.mapInArrow(best, schema)
+
 
 def min_max(scored: DataFrame, query: str, out: str) -> DataFrame:
     """Scores of each query scaled to 0..1; all equal gives 0."""

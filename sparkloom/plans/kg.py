@@ -65,11 +65,11 @@ def candidates(
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_answers)
 
 
-def neighbourhood(plans: DataFrame, nodes: DataFrame, edges: DataFrame, key: str = "q_id", max_range: int = 5) -> DataFrame:
+def neighbourhood(plans: DataFrame, nodes: DataFrame, edges: DataFrame, key: str = "q_id") -> DataFrame:
     """``key, entity, type, distance, start, route, rank`` for questions with hops: nearest wins, first seed on ties."""
     asked = table(plans.where("hops is not null").select(key, "seeds", "answer_type", "hops", F.posexplode("seeds").alias("seed_ord", "start")))
     far = asked.agg(F.max("hops")).first()[0] or 0
-    reach = G.neighbors_within(asked.select("start"), edges, min(far, max_range)).join(
+    reach = G.neighbors_within(asked.select("start"), edges, far).join(
         nodes.select(F.col("name").alias("node"), "type"), "node"
     )
     rows = asked.join(reach, "start").where((F.col("distance") <= F.col("hops")) & ~F.array_contains("seeds", F.col("node")))

@@ -77,7 +77,8 @@ class Lab:
 
     def build_wiki(self, updated: str) -> BuildStats:
         began = time.perf_counter()
-        made = self._store(compiler.compile_pages(self.corpus, self._load("triples"), self.ontology, updated), "pages")
+        topics = [compiler.Topic.of(t) for t in self.cfg.get("wiki", {}).get("topics", ())]
+        made = self._store(compiler.compile_pages(self.corpus, self._load("triples"), self.ontology, updated, topics), "pages")
         self._store(pages.catalogue(made), "catalogue")
         n = made.count()
         journal(self.spark, self.folder, f"COMPILE {n} pages from {self.corpus.count()} documents")

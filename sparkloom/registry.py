@@ -252,9 +252,9 @@ sa AS (SELECT item_id AS q_id, l.chunk_id, doc_ord, coalesce(score, 0) AS score
 sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_ord) AS rank FROM sa) WHERE rank <= 5)"""
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _vectors(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     q = embedding.hash_embed(_questions(spark, sf_dir), ["q_id"], "question", _DIM, "md5")
-    return q, embedding.hash_embed(_chunks(spark, sf_dir), ["chunk_id", "doc_ord"], "text", _DIM, "md5")
+    return q, embedding.hash_embed(chunks, ["chunk_id", "doc_ord"], "text", _DIM, "md5")
 
 
 @query(
@@ -264,22 +264,24 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     SELECT q_id, chunk_id, round(0.65 * coalesce(s2.s, 0) + 0.35 * coalesce(l2.s, 0), 9) AS score FROM s2 FULL JOIN l2 USING (q_id, chunk_id)"""
 )
 def hybrid_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, v = _vectors(spark, sf_dir)
+    chunks = table(_chunks(spark, sf_dir))
+    q, v = _vectors(spark, sf_dir, chunks)
     semantic = ranking.cosine_topk(q, v, "q_id", "chunk_id", 5, order="doc_ord")
-    lexical = ranking.BM25(_chunks(spark, sf_dir)).search(_questions(spark, sf_dir), "q_id", "question")
+    lexical = ranking.BM25(chunks).search(_questions(spark, sf_dir), "q_id", "question")
     return ranking.fuse(semantic, lexical, "q_id", "chunk_id").select("q_id", "chunk_id", "score")
 
 
 @query(f"WITH {_BM}, {_SEM} SELECT q_id, round(max(score), 6) AS top_score, max(score) >= 0.25 AS confident FROM sem GROUP BY q_id")
 def rag_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, v = _vectors(spark, sf_dir)
+    q, v = _vectors(spark, sf_dir, _chunks(spark, sf_dir))
     found = ranking.confidence(_questions(spark, sf_dir), ranking.cosine_topk(q, v, "q_id", "chunk_id", 5, order="doc_ord"), "q_id")
     return found.select("q_id", F.round("top_score", 6).alias("top_score"), "confident")
 
 
 def _rag(spark: SparkSession, sf_dir: str, mode: str = "lexical") -> DataFrame:
-    q, v = _vectors(spark, sf_dir)
-    return rag.answer(_questions(spark, sf_dir), _chunks(spark, sf_dir), q, v.drop("doc_ord"), mode=mode)
+    chunks = table(_chunks(spark, sf_dir))
+    q, v = _vectors(spark, sf_dir, chunks)
+    return rag.answer(_questions(spark, sf_dir), chunks, q, v.drop("doc_ord"), mode=mode)
 
 
 _STITCH = f"""e AS (SELECT q_id, rank AS n, doc_id, text FROM lex JOIN chunks USING (chunk_id)),
@@ -306,7 +308,7 @@ def rag_answer_extractive(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM lex JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = q_id GROUP BY q_id"""
 )
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunks(spark, sf_dir)
+    chunks = table(_chunks(spark, sf_dir))
     hits = ranking.BM25(chunks).search(_questions(spark, sf_dir), "q_id", "question").join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id")
     ev = hits.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").alias("citation"), "text"))).alias("e"))
     return _questions(spark, sf_dir).join(ev, "q_id").select("q_id", prompt(F.col("question"), F.col("e")).alias("prompt"))

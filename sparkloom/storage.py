@@ -2,12 +2,13 @@
 
 A fixpoint loop or a reused intermediate must survive lost executors, so it is
 written to the folder named by ``spark.checkpoint.dir`` (shared on a cluster)
-and read again. Only when a session names no folder, as in tests, a local one is
-set.
+and read again. Only when a local session names no folder, as in tests, one is
+set; on a cluster, where it would be another folder on each machine, that is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder; sets a local one only if the session has none."""
+    """The shared folder; sets a local one only if the session is local and has none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="sparkloom-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:

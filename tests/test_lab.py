@@ -14,7 +14,7 @@ def built(spark, tmp_path_factory):
         stamp = f"\nLast updated: {date}" if date else ""
         (root / f"{doc}.txt").write_text(f"{title}{stamp}\n\n{body}\n")
     (root / "ontology.yaml").write_text(ONTOLOGY)
-    (root / "config.yaml").write_text("embedding: {backend: hash, dim: 64}\nrag: {mode: hybrid}\n")
+    (root / "config.yaml").write_text("embedding: {backend: hash, dim: 64}\nrag: {mode: hybrid}\nwiki: {topics: [{title: Left Over, summary: What no page tells., doc_types: [runbook]}]}\n")
     (root / "questions.yaml").write_text("questions:\n  - {q: 'Who fixed the bug in the service that Alder depends on?', expect: kg}\n  - {q: 'zzz'}\n")
     made = lab.Lab(spark, load_corpus(spark, str(root)), load_ontology(str(root / "ontology.yaml")), str(root / "build"), load_config(str(root / "config.yaml")))
     with pytest.raises(lab.ArtefactMissing, match="build it first"):
