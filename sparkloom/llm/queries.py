@@ -42,11 +42,12 @@ WITH d AS (
   SELECT doc_id, source,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
     md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(source, '') || '|' || md5(coalesce(text, ''))) AS row_key,
-    greatest(coalesce(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]'))
-      / CAST(nullif(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]')), 0) AS DOUBLE), 0), 0.05) AS q
+    greatest(coalesce(len(regexp_extract_all(text, '\p{L}'))
+      / CAST(nullif(len(regexp_extract_all(text, '[^\x20\x09-\x0D]')), 0) AS DOUBLE), 0.05), 0.05) AS q
   FROM documents
 ), k AS (
-  SELECT *, -ln((CAST(CAST('0x' || substr(row_key, 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / q AS key FROM d
+  SELECT *, row_number() OVER (PARTITION BY row_key) AS no,
+    -ln((CAST(CAST('0x' || substr(row_key, 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / q AS key FROM d
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
     (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS w
@@ -67,16 +68,16 @@ WITH d AS (
   FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
 ), p AS (
   SELECT *, target - epochs * source_size AS rest,
-    sum(size) OVER (PARTITION BY source ORDER BY key, row_key) <= target - epochs * source_size AS chosen FROM r
+    sum(size) OVER (PARTITION BY source ORDER BY key, row_key, no) <= target - epochs * source_size AS chosen FROM r
 ), g AS (
   SELECT source, any_value(rest) - sum(CASE WHEN chosen THEN size ELSE 0 END) AS gap FROM p GROUP BY source
 ), z AS (
-  SELECT p.source, arg_min(row_key, {'m': abs(size - gap), 'k': key, 'r': row_key}) AS final
+  SELECT p.source, arg_min({'r': row_key, 'n': no}, {'m': abs(size - gap), 'k': key, 'r': row_key, 'n': no}) AS final
   FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source
   WHERE NOT chosen AND size > 0 AND abs(size - gap) < gap GROUP BY p.source
 )
 SELECT doc_id, size, source_size, target,
-  size * (epochs + CASE WHEN chosen OR coalesce(row_key = final, false) THEN 1 ELSE 0 END) AS taken
+  size * (epochs + CASE WHEN chosen OR coalesce(row_key = final.r AND no = final.n, false) THEN 1 ELSE 0 END) AS taken
 FROM p LEFT JOIN z ON p.source IS NOT DISTINCT FROM z.source
 """
 

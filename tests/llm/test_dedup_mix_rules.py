@@ -164,6 +164,34 @@ def test_mix(spark, rows, monkeypatch, bucket):
     assert copies == Counter({i: n for i, n in ((i, sum(r.copies for r in out if r.doc_id == i and r.taken)) for i in {r.doc_id for r in out}) if n})
 
 
+@pytest.mark.parametrize(("bucket", "quality"), [(4096, None), (2, None), (5, 0.05), (2, 1e-7)])
+def test_mix_takes_as_many_copies_as_fit(spark, monkeypatch, bucket, quality):
+    monkeypatch.setattr(M, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(M, "RUN", 7)
+    rng = random.Random(3)
+    made = [(i, "w " * rng.randrange(1, 40), "a") for i in range(300)]
+    made += [(500, "copy " * 10, "a")] * 31 + [(600 + i, "big " * 50, "b") for i in range(80)] + [(700, "x " * 30, "b")] * 90 + [(800, "v " * 9, "c")] * 40
+    df = spark.createDataFrame(made, "doc_id long, text string, source string").withColumn("row_key", F.lit(1)).withColumn("_s", F.lit(2)).withColumn("n", F.lit(3))
+    out = M.mix(df, quality=None if quality is None else F.lit(quality)).collect()
+    assert len(out) == len(made)
+    source, got, target = {i: s for i, _, s in made}, Counter(), {}
+    for r in out:
+        got[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    assert all(abs(got[s] - target[s]) <= 25 for s in target), (got, target)
+    copies = [r.copies for r in out if r.doc_id == 700]
+    assert max(copies) - min(copies) <= 1 and sum(copies) == sum(r.taken for r in out if r.doc_id == 700) // 30
+    mixed = M.mixed_documents(df)
+    if quality is None:
+        assert mixed.columns == df.columns
+        assert Counter(r.doc_id for r in mixed.collect()) == Counter({i: n for i in source if (n := sum(r.copies for r in out if r.doc_id == i))})
+
+
+def test_mix_weighs_letters_of_any_script(spark):
+    df = spark.createDataFrame([("abc",), ("абв",), ("日本",), ("a1",), (" ",), (None,)], "t string")
+    assert [r[0] for r in df.select(M.letter_share(F.col("t"))).collect()] == [1.0, 1.0, 1.0, 0.5, None, None]
+
+
 def test_mix_empty_and_silent(spark, rows):
     assert M.mix(docs(spark, rows).where("false")).count() == 0
     assert [(r.taken, r.target) for r in M.mix(docs(spark, [(1, None, None), (2, "", "a")])).collect()] == [(0, 0.0), (0, 0.0)]
