@@ -338,6 +338,11 @@ def _chunks(giants: DataFrame, size: int, margin: int) -> DataFrame:
     return arrow(giants, run, "doc long, text_key long, no long, last boolean, at long, left long, right long, piece string")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Chunks over all cores, each on its own: a few giants would else lie in one small file, in one task."""
+    return rows.repartition(2 * max(2, rows.sparkSession.sparkContext.defaultParallelism), "doc", "text_key", "no")
+
+
 _MATRIX = "doc long, text_key long, no long, m array<array<long>>"
 
 
@@ -356,7 +361,7 @@ def _encode_giants(giants: DataFrame, model, size: int, fan: int) -> DataFrame:
                     names=["doc", "text_key", "no", "m"],
                 )
 
-    levels = [table(arrow(chunks, matrices, _MATRIX))]
+    levels = [table(arrow(_spread(chunks), matrices, _MATRIX))]
     group = ["doc", "text_key", (F.floor(F.col("no") / fan)).cast("long").alias("up")]
 
     def combine(key, pdf):
@@ -410,7 +415,7 @@ def _encode_giants(giants: DataFrame, model, size: int, fan: int) -> DataFrame:
                     names=["doc", "text_key", "no", "ids"],
                 )
 
-    traced = arrow(placed, backtrace, "doc long, text_key long, no long, ids array<int>")
+    traced = arrow(_spread(placed), backtrace, "doc long, text_key long, no long, ids array<int>")
     ordered = traced.groupBy("doc", "text_key").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
     return ordered.select("doc", "text_key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
