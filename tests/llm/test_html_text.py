@@ -1,4 +1,7 @@
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import html_text as H
 
@@ -41,7 +44,7 @@ def test_templates_go_where_they_recur(spark, bound):
     df = spark.createDataFrame(pages(), "page_id long, url string, html string").repartition(3)
     out = H.main_text(df, broadcast_rows=bound)
     got = {r.page_id: (r.text, r.n_chars) for r in out.collect()}
-    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    assert out.columns == ["page_id", "url", "text", "n_chars", "n_templates"]
     assert got[3] == ("story 3", 7)
     assert got[101] == ("tale 1 Read our new book", 24)
     assert got[200] == ("lone", 4) and got[None] == ("", 0) and got[201] == ("", 0)
@@ -54,14 +57,82 @@ def test_empty_table(spark):
 
 def test_counts_match_brute_force(spark, sf):
     rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
-    got = {(r.host, r.hash) for r in H.recurring_subtrees(H.subtree_hashes(rows), share=0.05, min_pages=2).collect()}
-    seen, hosts = {}, {}
-    for r in rows.collect():
-        host = H.host_of(r.url)
-        hosts[host] = hosts.get(host, 0) + 1
-        for h in H.Page(r.html).subtrees():
-            seen[host, h] = seen.get((host, h), 0) + 1
-    assert got == {k for k, n in seen.items() if n >= 2 and n >= 0.05 * hosts[k[0]]}
+    hashes = H.subtree_hashes(rows)
+    for least, articles, many in ((H.MIN_PAGES, H.MIN_ARTICLES, H.MANY), (2, 1, 3)):
+        got = {(r.host, r.hash) for r in H.recurring_subtrees(hashes, least, articles, many).collect()}
+        seen, hosts = {}, {}
+        for r in rows.collect():
+            host, page = H.host_of(r.url), H.Page(r.html)
+            hosts[host] = hosts.get(host, 0) + 1
+            for kind, h in page.subtrees():
+                seen.setdefault((host, kind, h), []).append(page.article())
+        share = {1: H.SHARE, 2: H.BLOCK_SHARE, 3: H.SHAPE_SHARE}
+        often = lambda host, kind, n: n >= share[kind] * hosts[host] or (kind == 1 and n >= many)
+        want = {(host, h) for (host, kind, h), a in seen.items() if len(a) >= least and len(set(a)) >= articles and often(host, kind, len(a))}
+        assert got == want
+
+
+STORY = "<div class='s{0}'><p>Story number {0} tells of a river and of the town beside it.</p><p>It goes on with part {0} for a while.</p></div>"
+
+
+def plain_site(n):
+    """Furniture without a telling tag or name: a menu whose entries differ, a box that rotates, a closing line; a third of the pages is one article."""
+    rows = []
+    for i in range(n):
+        menu = "".join(f"<li><a href='/{i}/{k}'>place {i * k}</a>" for k in range(1, 4 + i % 3))
+        box = f"<div class='z9'><p>Offer {i % 4}: buy now and save.</p></div>"
+        body = STORY.format(7) if i % 3 == 0 else STORY.format(i)
+        rows.append((i, f"http://plain.org/{i}", f"<body><div class='x1'><ul>{menu}</ul></div>{body}{box}<div>All rights with Plain Org.</div></body>"))
+    return rows
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_furniture_without_telling_names_goes_by_counting(spark, names):
+    rows = plain_site(60)
+    out = {r.page_id: r for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), names=names).collect()}
+    for i in range(60):
+        k = 7 if i % 3 == 0 else i
+        assert out[i].text == f"Story number {k} tells of a river and of the town beside it. It goes on with part {k} for a while."
+        assert out[i].n_templates >= 3
+    few = {r.page_id: r for r in H.main_text(spark.createDataFrame(rows[:4], "page_id long, url string, html string"), names=names).collect()}
+    assert few[1].n_templates == 0 and "Plain Org" in few[1].text
+
+
+def test_menus_of_the_documents_recur_in_structure(spark):
+    """Their entries differ from page to page, so as they are they hardly recur."""
+    out = H.main_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), names=False)
+    assert out.where("n_templates > 0").count() > 0.4 * out.count()
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<p title=it's>kept one</p><p>two it's</p>", "kept one two it's"),
+        ('<p data-x="a>one</p><p>two</p>', "one two"),
+        ("<div class='share-price'>a</div><div class='ad-free-content'>b</div><div class='notice-of-sale'>c</div>", "a b c"),
+        ("<div class='share-buttons'>a</div><div class='site-footer'>b</div><div class='cookieBanner'>c</div><div class='ad-box-2'>d</div>e", "e"),
+        ("<p>a<a href='x", "a"),
+    ],
+)
+def test_quotes_and_names_that_only_look_like_furniture(source, want):
+    assert H.page_text(source) == want
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<b>", "<p a='", "<li>", "<div class='", "<", "<b></i>", "<b><li>x", "<div><p>"])
+def test_time_is_linear(piece):
+    def seconds(n):
+        began = time.process_time()
+        H.page_text(piece * n)
+        return time.process_time() - began
+
+    assert seconds(40_000) < 5
+
+
+def test_clashing_columns_and_repeats(spark):
+    df = spark.createDataFrame([(1, "http://a.org", "<p>x")] * 3, "page_id long, url string, html string")
+    for name in ("host", "hash", "text", "marks", "n_chars", "article"):
+        df = df.withColumn(name, F.lit("y"))
+    assert [(r.text, r.n_chars) for r in H.main_text(df).collect()] == [("x", 1)] * 3
 
 
 @pytest.mark.parametrize(
