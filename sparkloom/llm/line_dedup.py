@@ -1,7 +1,7 @@
 """Fuzzy line deduplication.
 
 Lines are normalised (lower case, digits as 0, no ASCII punctuation, single spaces) and equal ones
-collapse by digest. Each distinct line of ``MIN_WORDS`` words or more gets a SimHash over its words and a few keys. Lines
+collapse by digest. Each distinct line of ``MIN_WORDS`` words or more gets a SimHash over its words, weighed by their lengths, and a few keys. Lines
 that share a key and whose fingerprints differ in at most ``WIDE`` bits are verified by the edit similarity of
 the normalised lines, at least ``SIMILARITY``. Of each connected group of lines the occurrence first in
 order of doc_id and offset stays.
@@ -40,7 +40,12 @@ from sparkloom.storage import table
 
 SIMILARITY = 0.8
 #: Words of a line that is compared by similarity, words up to which its bag counts, minhashes, and bits of difference.
-MIN_WORDS, SHORT, ROUNDS, WIDE = 3, 9, 4, 16
+MIN_WORDS, SHORT, ROUNDS, WIDE = 3, 9, 5, 16
+#: Weight of a word is its length in bytes, up to this.
+HEAVIEST = 40
+#: For each byte, its lower and its upper four bits as four counters of sixteen bits, which hold ``_PIECE`` words.
+_SPREAD = [np.array([sum((x >> shift + k & 1) << 16 * k for k in range(4)) for x in range(256)], np.uint64) for shift in (0, 4)]
+_PIECE = 65535 // HEAVIEST
 #: Word hashes, or lines, held at once by a task.
 _HELD = 100_000
 #: Lines under one key that a task compares; larger keys are dealt out as pairs of parts.
@@ -48,8 +53,6 @@ _PART = 8192
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 _ODD = np.random.default_rng(7).integers(1 << 62, size=ROUNDS + 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: For each byte, its bits as eight counters of eight bits.
-_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def flatten(text: str) -> bytes:
@@ -62,31 +65,38 @@ def normalise(line: str) -> list[bytes]:
     return flatten(line).split()
 
 
-def fingerprints(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """SimHash of consecutive runs of ``hashes`` (uint64): bits set in over half of a run."""
-    ends = np.cumsum(sizes)
-    pieces = [(e - n + k, i) for i, (e, n) in enumerate(zip(ends.tolist(), sizes.tolist())) for k in range(0, n, 255)]
-    starts, owner = (np.array(x) for x in zip(*pieces))  # a counter of eight bits holds 255 words
-    octets = hashes.view(np.uint8).reshape(-1, 8)
-    counts = np.stack([np.add.reduceat(_SPREAD[octets[:, k]], starts) for k in range(8)], 1).view(np.uint8)
-    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    ones = np.add.reduceat(counts.astype(np.int32), first, axis=0)
-    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+def fingerprints(hashes: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SimHash of consecutive runs of ``hashes`` (uint64): bits set in over half of a run's weight."""
+    first = np.cumsum(sizes) - sizes
+    starts = np.unique(np.concatenate([first, *(np.arange(a, a + n, _PIECE) for a, n in zip(first, sizes) if n > _PIECE)]))
+    octets, heavy = hashes.view(np.uint8).reshape(-1, 8), weights.astype(np.uint64)
+    sums = [np.add.reduceat(half[octets[:, k]] * heavy, starts).view(np.uint16).reshape(-1, 4) for k in range(8) for half in _SPREAD]
+    ones = np.concatenate(sums, axis=1).astype(np.int32)
+    if len(starts) > len(first):
+        ones = np.add.reduceat(ones, np.searchsorted(starts, first), axis=0)
+    whole = np.add.reduceat(weights, first)
+    return np.packbits(2 * ones > whole[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
 
+def line_keys(hashes: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+    """Keys of consecutive runs of word hashes, of three or more each; odd ones are those of bags.
 
-def line_keys(hashes: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
-    """Keys of consecutive runs of word hashes, of three or more each; odd ones are those of bags."""
+    The least of a shingle's hashes is taken over its weight, so that shingles of long words, which
+    are rare and make most of the line, count for more than those of short ones, which any line may have.
+    """
     ends = np.cumsum(sizes)
     h = hashes * _ODD[0]
     h ^= h >> np.uint64(29)
     shingles = h[:-2] * _ODD[0] + h[1:-1] * _ODD[1] + h[2:] * _ODD[2]
     shingles ^= shingles >> np.uint64(31)
+    heavy = 1.0 / (weights[:-2] + weights[1:-1] + weights[2:]).astype(np.float64)
     edges = np.stack([ends - sizes, ends - 2], axis=1).ravel()[:-1]  # shingles across two lines fall between
     least = np.empty((len(sizes), ROUNDS), np.uint64)
     for k in range(ROUNDS):
         mixed = shingles * _ODD[3 + k]
         mixed ^= mixed >> np.uint64(32)
-        least[:, k] = np.minimum.reduceat(mixed, edges)[::2] * _ODD[k] & ~np.uint64(1)
+        late = mixed.astype(np.float64) * heavy
+        least[:, k] = np.minimum.reduceat(late, edges)[::2].view(np.uint64) * _ODD[k] & ~np.uint64(1)
     out = least.view(np.int64).tolist()
     for i in np.flatnonzero(sizes <= SHORT).tolist():
         bag = hashes[ends[i] - sizes[i] : ends[i]]
@@ -143,16 +153,16 @@ def _lines(source: DataFrame) -> DataFrame:
     names = ["doc", "text_key", "start", "end", "line", "fp", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, seen, hashes, sizes, owners = [], set(), [], [], []
+        rows, seen, hashes, weights, sizes, owners = [], set(), [], [], [], []
 
         def found() -> pa.RecordBatch:
             fps, keys = [None] * len(rows), [None] * len(rows)
             if sizes:
-                h, n = np.array(hashes, np.uint64), np.array(sizes)
-                for i, fp, k in zip(owners, fingerprints(h, n).view(np.int64).tolist(), line_keys(h, n)):
+                h, w, n = np.array(hashes, np.uint64), np.minimum(np.array(weights, np.int32), HEAVIEST), np.array(sizes)
+                for i, fp, k in zip(owners, fingerprints(h, w, n).view(np.int64).tolist(), line_keys(h, w, n)):
                     fps[i], keys[i] = fp, k
             arrays = [*(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            for held in (rows, seen, hashes, sizes, owners):
+            for held in (rows, seen, hashes, weights, sizes, owners):
                 held.clear()
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -169,6 +179,7 @@ def _lines(source: DataFrame) -> DataFrame:
                                 owners.append(len(rows))
                                 sizes.append(len(words))
                                 hashes += map(xxhash.xxh64_intdigest, words)
+                                weights += map(len, words)
                         rows.append((doc, key, start, end, digest))
                     start = end + 1
                     if len(hashes) > _HELD or len(rows) > _HELD:
@@ -247,10 +258,13 @@ def key_links(
 
     Lines already connected are not compared again, so a group of near copies costs one
     verification a line instead of one a pair, and gives one link a line. A pair is left to the first key that both have.
+    Lines with many others near come first: copies are alike to their original more often than to each other.
     """
-    order = np.argsort(fps, kind="stable")
-    bits, root, out = fps[order].view(np.uint64), list(range(len(order))), []
-    most, letters, sizes = 64 if key & 1 else WIDE, None, np.array([len(norms[x]) for x in order])
+    most, every = 64 if key & 1 else WIDE, fps.view(np.uint64)
+    around = np.array([np.count_nonzero(np.bitwise_count(every ^ x) <= most) for x in every])
+    order = np.lexsort((fps, -around))
+    bits, root, out = every[order], list(range(len(order))), []
+    letters, sizes = None, np.array([len(norms[x]) for x in order])
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -265,7 +279,7 @@ def key_links(
             more = letters[near] - letters[i]
             edits = np.maximum(np.where(more > 0, more, 0).sum(1), np.where(more < 0, -more, 0).sum(1))
             near = near[edits <= (1 - similarity) * np.maximum(sizes[near], sizes[i]) + 1e-9]
-        for j in near[::-1].tolist():
+        for j in near.tolist():
             a, b = top(i), top(j)
             x, y = order[i], order[j]
             if a != b and min(keys[x] & keys[y]) == key and similar(norms[x], norms[y], similarity):

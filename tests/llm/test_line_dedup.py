@@ -172,11 +172,12 @@ def test_recall_on_documents_against_all_pairs(spark):
     assert found >= 0.9 * len(pairs), (found, len(pairs))
 
 
-def test_fingerprints_match_plain_counts():
+def test_fingerprints_match_plain_sums():
     rng = random.Random(1)
-    runs = [[rng.getrandbits(64) for _ in range(n)] for n in (3, 1, 700, 255, 256, 40)]
-    got = L.fingerprints(np.array(sum(runs, []), np.uint64), np.array([len(r) for r in runs]))
-    assert [int(x) for x in got] == [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r) > len(r)) for r in runs]
+    runs = [[(rng.getrandbits(64), rng.randrange(1, 41)) for _ in range(n)] for n in (3, 1, 700, 255, 256, 40)]
+    flat = sum(runs, [])
+    got = L.fingerprints(np.array([h for h, _ in flat], np.uint64), np.array([w for _, w in flat], np.int32), np.array([len(r) for r in runs]))
+    assert [int(x) for x in got] == [sum(1 << b for b in range(64) if 2 * sum(w for h, w in r if h >> b & 1) > sum(w for _, w in r)) for r in runs]
 
 
 def test_suspects_are_lines_with_a_partner(spark, monkeypatch):
