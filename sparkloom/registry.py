@@ -257,12 +257,12 @@ def _vectors(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> tuple[DataF
     return q, embedding.hash_embed(chunks, ["chunk_id", "doc_ord"], "text", _DIM, "md5")
 
 
-@query(
-    f"""WITH {_BM}, {_SEM},
-    s2 AS (SELECT q_id, chunk_id, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0) AS s FROM sem WINDOW w AS (PARTITION BY q_id)),
-    l2 AS (SELECT q_id, chunk_id, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0) AS s FROM lex WINDOW w AS (PARTITION BY q_id))
-    SELECT q_id, chunk_id, round(0.65 * coalesce(s2.s, 0) + 0.35 * coalesce(l2.s, 0), 9) AS score FROM s2 FULL JOIN l2 USING (q_id, chunk_id)"""
-)
+_FUSED = """s2 AS (SELECT q_id, chunk_id, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0) AS s FROM sem WINDOW w AS (PARTITION BY q_id)),
+    l2 AS (SELECT q_id, chunk_id, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0) AS s FROM lex WINDOW w AS (PARTITION BY q_id)),
+    fu AS (SELECT q_id, chunk_id, round(0.65 * coalesce(s2.s, 0) + 0.35 * coalesce(l2.s, 0), 9) AS score FROM s2 FULL JOIN l2 USING (q_id, chunk_id))"""
+
+
+@query(f"WITH {_BM}, {_SEM}, {_FUSED} SELECT * FROM fu")
 def hybrid_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(_chunks(spark, sf_dir))
     q, v = _vectors(spark, sf_dir, chunks)
@@ -284,22 +284,38 @@ def _rag(spark: SparkSession, sf_dir: str, mode: str = "lexical") -> DataFrame:
     return rag.answer(_questions(spark, sf_dir), chunks, q, v.drop("doc_ord"), mode=mode)
 
 
-_STITCH = f"""e AS (SELECT q_id, rank AS n, doc_id, text FROM lex JOIN chunks USING (chunk_id)),
-ss AS (SELECT q_id, n, unnest(range(1, len(s) + 1)) AS j, s FROM (SELECT q_id, n, {_sentences('text')} AS s FROM e)),
+def _stitch(ranked: str) -> str:
+    return f"e AS (SELECT q_id, rank AS n, doc_id, text FROM {ranked} JOIN chunks USING (chunk_id)), {_QUOTED}"
+
+
+_QUOTED = f"""ss AS (SELECT q_id, n, unnest(range(1, len(s) + 1)) AS j, s FROM (SELECT q_id, n, {_sentences('text')} AS s FROM e)),
 sc AS (SELECT q_id, n, j, s[j] AS s, len(list_intersect({_terms('b.text')}, {_terms('s[j]')})) AS o FROM ss JOIN benchmark b ON b.item_id = q_id),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY o DESC, n, j) AS k FROM sc) WHERE k <= 6)"""
 
 
-@query(
-    f"""WITH {_BM}, {_STITCH}
-    SELECT q_id, string_agg(s || ' [' || n || ']', ' ' ORDER BY n, j) AS answer,
+_ANSWER = """SELECT q_id, string_agg(s || ' [' || n || ']', ' ' ORDER BY n, j) AS answer,
       (SELECT string_agg(doc_id, ',' ORDER BY f) FROM (SELECT doc_id, min(n) AS f FROM e WHERE e.q_id = kept.q_id GROUP BY doc_id)) AS citations,
       (SELECT sum(len(text)) FROM e WHERE e.q_id = kept.q_id) // 4 AS tokens_est FROM kept GROUP BY q_id"""
-)
+
+
+@query(f"WITH {_BM}, {_stitch('lex')} {_ANSWER}")
 def rag_answer_extractive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rag(spark, sf_dir).select("q_id", "answer", F.array_join("citations", ",").alias("citations"), "tokens_est")
 
 
+@query(f"WITH {_BM}, {_SEM}, {_stitch('sem')} {_ANSWER}")
+def rag_answer_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rag(spark, sf_dir, "semantic").select("q_id", "answer", F.array_join("citations", ",").alias("citations"), "tokens_est")
+
+
+@query(
+    f"""WITH {_BM}, {_SEM}, {_FUSED},
+    fus AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS rank FROM fu), {_stitch('fus')} {_ANSWER}"""
+)
+def rag_answer_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rag(spark, sf_dir, "hybrid").select("q_id", "answer", F.array_join("citations", ",").alias("citations"), "tokens_est")
+
+
 @query(
     f"""WITH {_BM} SELECT q_id, 'Answer the question using only the numbered evidence below.' || chr(10) ||
       'Cite the evidence you use as [1], [2] and so on, directly after the claim it supports.' || chr(10) ||
@@ -463,6 +479,22 @@ def kg_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("start", "node", F.col("distance").cast("long").alias("distance"), via.alias("via"))
 
 
+@query(
+    """SELECT a.n_nationkey AS q_id, b.n_name AS entity, abs(a.n_nationkey - b.n_nationkey) AS distance,
+      row_number() OVER (PARTITION BY a.n_nationkey ORDER BY abs(a.n_nationkey - b.n_nationkey), b.n_name) AS rank
+    FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND abs(a.n_nationkey - b.n_nationkey) <= 7"""
+)
+def kg_seven_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbourhoods along a chain of nations by key: all that lies within the seven hops asked for."""
+    nation = read_table(spark, sf_dir, "nation")
+    after = nation.select((F.col("n_nationkey") - 1).alias("n_nationkey"), F.col("n_name").alias("object"))
+    source = F.array(F.struct(F.lit("chain").alias("doc_id"), F.lit("").alias("sentence")))
+    edges = nation.join(after, "n_nationkey").select(F.col("n_name").alias("subject"), F.lit("next_to").alias("predicate"), "object", source.alias("sources"))
+    asked = nation.select(F.col("n_nationkey").alias("q_id"), F.array("n_name").alias("seeds"), F.lit(None).cast("string").alias("answer_type"), F.lit(7).alias("hops"))
+    near = kg.neighbourhood(asked, nation.select(F.col("n_name").alias("name"), F.lit("Nation").alias("type")), edges)
+    return near.select("q_id", "entity", F.col("distance").cast("long").alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     f"""WITH {_GEO}, h1 AS (SELECT n_name AS start, [n_name, target] AS nodes, n_name || {_ARROW.format('s', 'l')} AS path FROM nation JOIN st s ON s.node = n_name JOIN lab l USING (predicate)),
     h2 AS (SELECT start, list_append(nodes, target) AS nodes, path || {_ARROW.format('s', 'l')} AS path FROM h1 JOIN st s ON s.node = nodes[-1] JOIN lab l USING (predicate) WHERE NOT list_contains(nodes, target)),
