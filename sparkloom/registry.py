@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.functions.vectors import norm
+from sparkloom.functions.vectors import dot
 from sparkloom.operators import chunking, embedding, extraction, ranking
 from sparkloom.operators import graph as G
 from sparkloom.operators.ontology import Ontology, Relation, mentions
@@ -187,14 +187,16 @@ def embed_hash_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def embed_hash_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embedding.hash_embed(read_table(spark, sf_dir, "documents"), ["doc_id"], "text", _DIM)
-    return v.select("doc_id", F.round(norm(F.col("embedding")), 6).alias("length"))
+    each = v.select("doc_id", F.posexplode("embedding").alias("bucket", "weight")).where("weight > 0")
+    return each.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round("weight", 6).alias("weight"))
 
 
 @query()
 def embed_lsa_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    v = embedding.TfidfSvd(32, 512).fit(docs, "doc_id", "text").encode(docs, "doc_id", "text")
-    return v.select("doc_id", F.round(norm(F.col("embedding")), 6).alias("length"))
+    v = table(embedding.TfidfSvd(32).fit(docs, "doc_id", "text").encode(docs, "doc_id", "text"))
+    first = v.orderBy("doc_id").limit(1).select(F.col("embedding").alias("_first"))  # one row
+    return v.crossJoin(F.broadcast(first)).select("doc_id", F.round(dot(F.col("embedding"), F.col("_first")), 3).alias("cosine_to_first"))
 
 
 @query(

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 
 from sparkloom.operators import embedding as E
@@ -71,6 +72,27 @@ def test_hash_embedding(spark, chunks, digest):
     assert max(got["c#0"]) == 1.0
 
 
+def test_svd_matches_numpy_over_the_whole_vocabulary(spark):
+    rng = np.random.default_rng(4)
+    topics = [[f"t{k}w{i}" for i in range(25)] for k in range(6)]
+    docs = [(i, " ".join(rng.choice(topics[i % 6], 30)) + f" only{i}") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = E.TfidfSvd(6).fit(df, "doc_id", "text")
+    got = {r.doc_id: np.array(r.embedding) for r in model.encode(df, "doc_id", "text").collect()}
+    weights, _ = E.tfidf(df, "doc_id", "text")
+    rows = weights.collect()
+    terms = {t: i for i, t in enumerate(sorted({r.term for r in rows}))}
+    assert model.terms.count() == len(terms) > 200  # no term is left out, however rare
+    a = np.zeros((60, len(terms)))
+    for r in rows:
+        a[r.doc_id, terms[r.term]] = r.weight
+    plain = a @ np.linalg.svd(a, full_matrices=False)[2][:6].T
+    plain /= np.linalg.norm(plain, axis=1)[:, None]
+    mine = np.array([got[i] for i in range(60)])
+    assert np.abs(mine @ mine.T - plain @ plain.T).max() < 0.02
+    assert not np.any(model.encode(spark.createDataFrame([(1, "zzz")], "doc_id long, text string"), "doc_id", "text").first().embedding)
+
+
 def test_svd_and_factory(spark, chunks):
     m = E.build_embedder({"backend": "tfidf-svd", "dim": 50}, chunks)
     got = {r.chunk_id: r.embedding for r in m.encode(chunks, "chunk_id", "text").collect()}
