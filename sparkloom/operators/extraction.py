@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,19 @@ def _triples_of(rule: Rule, relation: Relation, pairs: Column) -> Column:
     return F.transform(fit, row)
 
 
+def _ends(rule: Rule, known: Column) -> Callable[[Column], Column]:
+    """From a match to its subject and object; a rule without a subject takes the document's entity."""
+
+    def entity(match: Column, group: int) -> Column:
+        return F.try_element_at(known, F.regexp_extract(match, rule.regex, group))
+
+    def pair(match: Column) -> Column:
+        subject = F.col("_entity") if rule.subject_group is None else entity(match, rule.subject_group)
+        return F.struct(subject.alias("s"), entity(match, rule.object_group).alias("o"))
+
+    return pair
+
+
 def extract_triples(corpus: DataFrame, ontology: Ontology) -> DataFrame:
     """``subject, predicate, object, doc_id, sentence, pattern, resolved_from_document, triple_ord``.
 
@@ -47,12 +62,13 @@ def extract_triples(corpus: DataFrame, ontology: Ontology) -> DataFrame:
     found = []
     for rule in rules(ontology):
         relation = ontology.relation(rule.predicate)
-        objects = F.regexp_extract_all("sentence", F.lit(rule.regex), F.lit(rule.object_group))
-        if rule.subject_group is None:
-            pairs = F.transform(objects, lambda o: F.struct(F.col("_entity").alias("s"), F.try_element_at(known, o).alias("o")))
-        else:
-            subjects = F.regexp_extract_all("sentence", F.lit(rule.regex), F.lit(rule.subject_group))
-            pairs = F.zip_with(subjects, objects, lambda s, o: F.struct(F.try_element_at(known, s).alias("s"), F.try_element_at(known, o).alias("o")))
+        # a plain search for the words between the names comes first; the expression runs once a sentence, and its groups over the short matches
+        there = F.lit(True)
+        for piece in rule.literals:
+            there = there & F.contains(F.col("sentence"), F.lit(piece))
+        none = F.array().cast("array<string>")
+        matches = F.when(there, F.regexp_extract_all("sentence", F.lit(rule.regex), F.lit(0))).otherwise(none)
+        pairs = F.transform(matches, _ends(rule, known))
         if rule.inverse:
             pairs = F.transform(pairs, lambda p: F.struct(p["o"].alias("s"), p["s"].alias("o")))
         found.append(_triples_of(rule, relation, pairs))
