@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import arrow
 
-MAX_ROWS = 10_000
+MAX_ROWS, MAX_CHARS = 10_000, 16_000
 BUCKETS = 1 << 18
 GRADES = 3
 SELECT_GRADE = 2
@@ -133,12 +133,13 @@ def fit(rows: list[tuple[object, str | None, int]], grades: int = GRADES, epochs
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
-    """At most ``MAX_ROWS`` training rows (doc_id, text, grade), never held-out ones."""
+    """At most ``MAX_ROWS`` training rows (doc_id, text, grade) of at most ``MAX_CHARS`` characters, never held-out ones."""
     rest = F.crc32(F.col(id_col).cast("string")) % 4
     each = labels.where(F.col(id_col).isNotNull() & (rest != 2)).withColumn("_grade", grade).where("_grade is not null")
     ids = each.groupBy(id_col).agg(F.min("_grade").cast("int").alias("_grade")).orderBy(F.xxhash64(id_col), id_col).limit(MAX_ROWS)
     # at most MAX_ROWS ids: a proven bound
-    found = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(ids), id_col)
+    texts = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).where(F.length(F.coalesce("_text", F.lit(""))) <= MAX_CHARS)
+    found = texts.join(F.broadcast(ids), id_col)
     found = found.groupBy(id_col).agg(F.min("_text").alias("_text"), F.min("_grade").alias("_grade"))
     return [tuple(r) for r in found.collect()]
 
