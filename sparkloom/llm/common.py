@@ -33,7 +33,7 @@ BATCH_ROWS = 1000
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def _trim() -> None:
+def trim() -> None:
     """Give memory that a task no longer needs back to the system; the worker process lives on."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -51,7 +51,7 @@ def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         try:
             yield from run(batches)
         finally:
-            _trim()
+            trim()
 
     return df.mapInArrow(trimmed, schema)
 

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import arrow
+from sparkloom.llm.common import arrow, trim
 
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 4000, 6000, 16_000
 THRESHOLD = 0.3
@@ -131,14 +131,14 @@ def _samples(windows: list[bytes], rng: np.random.Generator) -> list[bytes]:
 
 
 def _view(
-    width: int, stretch: int, groups: int, base: int, size: int, toxic: list[list[bytes]], ordinary: list[list[bytes]]
+    width: int, stretch: int, groups: int, base: int, size: int, toxic: list[str], ordinary: list[str]
 ) -> tuple[int, int, bytes, list[bytes]]:
-    """Train one view from the words of toxic and of ordinary documents."""
+    """Train one view from the texts of toxic and of ordinary documents; their words are split anew each time, for the driver's memory."""
     rng = np.random.default_rng(11)
     groups = max(1, min(groups, len(toxic) // 4))
-    plain = _dictionary([b" ".join(w) + b" " for w in ordinary], base)
+    plain = _dictionary([b" ".join(_words(t)) + b" " for t in ordinary], base)
     dealt = [toxic[k::groups] for k in range(groups)]
-    kept = [[x for words in group for x in windows(words, width)] for group in dealt]
+    kept = [[x for t in group for x in windows(_words(t), width)] for group in dealt]
     for round_ in range(ROUNDS + 1):
         view = View(width, 1, plain, contents := [_dictionary(_samples(k, rng), size) for k in kept])
         if groups == 1 or round_ == ROUNDS:
@@ -146,7 +146,8 @@ def _view(
         refined = []
         for k, group in enumerate(dealt):
             gains, seen = [], 0
-            for words in ordinary[k::groups]:
+            for t in ordinary[k::groups]:
+                words = _words(t)
                 seen += max(1, len(words) - width + 1)
                 gains += [a for _, a in view.advantages(words, k)]
                 if seen > LOOKED_AT:
@@ -154,7 +155,7 @@ def _view(
             gains = sorted(gains, reverse=True)
             rare = int((1 - QUANTILE) * seen)
             least = 1 + (gains[rare] if rare < len(gains) else 0)
-            refined.append([x for words in group for x, a in view.advantages(words, k) if a >= least])
+            refined.append([x for t in group for x, a in view.advantages(_words(t), k) if a >= least])
         if min(map(len, refined)) < 5:
             break
         kept = refined
@@ -205,11 +206,14 @@ def fit(rows: list[tuple[object, str | None, int]]) -> dict:
     share = sum(r[2] for r in rows) / len(rows) if rows else 0.0
     if not all(len({r[2] for r in p}) == 2 for p in parts):
         return {"share": share}
-    toxic, ordinary = ([_words(t) for t in dict.fromkeys(r[1] for r in parts[0] if r[2] == k)] for k in (1, 0))
+    toxic, ordinary = (list(dict.fromkeys(r[1] or "" for r in parts[0] if r[2] == k)) for k in (1, 0))
     views = [_view(*v, toxic, ordinary) for v in VIEWS]
     ready = [View(*v) for v in views]
     x = np.array([document_features(ready, r[1]) for r in parts[1]])
-    return {"share": share, "views": views, "weights": _logistic(x, np.array([r[2] for r in parts[1]], float)).tolist()}
+    weights = _logistic(x, np.array([r[2] for r in parts[1]], float)).tolist()
+    del ready
+    trim()
+    return {"share": share, "views": views, "weights": weights}
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
