@@ -153,6 +153,18 @@ class Lab:
     def source(self, doc_id: str) -> DataFrame:
         return self.corpus.where(F.col("doc_id") == doc_id)
 
+    def of_type(self, *doc_types: str) -> DataFrame:
+        return self.corpus.where(F.col("doc_type").isin(*doc_types))
+
+    def shown_config(self) -> dict:
+        """The settings in which the three approaches differ, so that a reader can tell what gave an answer."""
+        part = lambda name: self.cfg.get(name) or {}
+        return {
+            "embedding": part("embedding").get("backend", "hash"), "chunking": part("chunking").get("strategy", "paragraph"),
+            "llm": part("llm").get("backend", "extractive"), "rag_mode": part("rag").get("mode", "semantic"), "rag_top_k": part("rag").get("top_k", 5),
+            "kg_max_hops": part("kg").get("max_hops", 4), "wiki_max_pages": part("wiki").get("max_pages", 6),
+        }
+
 
 def light_path(found: DataFrame, key: str = "q_id", most: int = 8) -> DataFrame:
     """``key, rank, subject, predicate, object``: the edges that a route walks, in their own direction."""

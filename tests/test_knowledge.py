@@ -4,7 +4,7 @@ import pytest
 
 from sparkloom.operators import extraction as X
 from sparkloom.operators import graph as G
-from sparkloom.operators.ontology import Ontology
+from sparkloom.operators.ontology import Ontology, mention_spans
 from sparkloom.plans import answers, compiler, generate, kg, lint, pages, planner, wiki
 from sparkloom.storage import table
 
@@ -142,6 +142,20 @@ def test_graph_answers(plans, nodes, edges, ontology):
     assert not got[4].confident and "equally good routes, to Alder and Birch" in got[4].note
 
 
+def test_lookups_and_spans(spark, ontology):
+    assert ontology.entity("Alder") == ("Alder", "Service", ("Alder Gateway",)) and ontology.canonical("v1") == ("Rule v1", "Policy")
+    assert ontology.by_type()["Service"] == ["Alder", "Birch", "Cedar"] and list(ontology.by_type()) == ["Service", "Person", "Team", "Bug", "Policy"]
+    with pytest.raises(KeyError):
+        ontology.entity("Nobody")
+    text = "Dr. Ada Quill left Alder Gateway; Alders and v1 stay. Ada"
+    df = spark.createDataFrame([(text,), (None,), ("none here",)], "t string")
+    got = [r[0] for r in df.select(mention_spans(df.t, ontology)).collect()]
+    assert [(m.name, m.type, text[m.start : m.end]) for m in got[0]] == [
+        ("Ada Quill", "Person", "Dr. Ada Quill"), ("Alder", "Service", "Alder Gateway"), ("Rule v1", "Policy", "v1"), ("Ada Quill", "Person", "Ada"),
+    ]
+    assert got[1:] == [[], []]
+
+
 def test_neighbourhood_of_any_range(spark):
     chain = [(f"n{i}", "next", f"n{i + 1}") for i in range(9)]
     edges = spark.createDataFrame([(*e, [("d", "x")]) for e in chain], "subject string, predicate string, object string, sources array<struct<doc_id:string,sentence:string>>")

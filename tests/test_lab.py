@@ -32,6 +32,8 @@ def test_builds(spark, built):
     made.write_markdown(str(root / "md"))
     assert (root / "md" / "file=alder.md").is_dir()
     assert made.source("bug-7").first().title == "BUG-7: slow"
+    assert {r.doc_id for r in made.of_type("bug", "policy").collect()} == {r.doc_id for r in made.corpus.where("doc_type in ('bug', 'policy')").collect()}
+    assert made.shown_config()["rag_mode"] == "hybrid" and made.shown_config()["kg_max_hops"] == 4
     assert {r.check for r in made.lint().collect()} <= {"orphan_pages", "broken_links", "stale_pages", "superseded_refs"}
 
 
