@@ -164,7 +164,8 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     several = groups.where("n > 1").select(F.col("row_key").alias("_key"), (F.col("epochs") * F.col("n") + F.col("more")).alias("_times")).where("_times > 0")
     alone = plain.join(single, F.col("row_key") == F.col("_key"))
     stands = plain.join(several, F.col("row_key") == F.col("_key"), "left_semi").groupBy("row_key").agg(F.first(F.struct(*names)).alias("_one"))
-    joined = stands.join(several, F.col("row_key") == F.col("_key")).select("_one.*", "_times")
-    rows = alone.select(*names, "_times").unionByName(joined)
+    joined = stands.join(several, F.col("row_key") == F.col("_key")).select("row_key", "_one.*", "_times")
+    runs = joined.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1, F.lit(RUN).cast("long")))).repartition("row_key", "_at")
+    rows = alone.select(*names, "_times").unionByName(runs.select(*names, F.least(F.col("_times") - F.col("_at"), F.lit(RUN)).alias("_times")))
     repeated = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     return repeated.select(*(F.col(n).alias(c) for n, c in zip(names, df.columns)))
