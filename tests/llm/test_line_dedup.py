@@ -172,6 +172,52 @@ def test_recall_on_documents_against_all_pairs(spark):
     assert found >= 0.9 * len(pairs), (found, len(pairs))
 
 
+def test_distances_at_once_match_the_plain_distance():
+    rng = random.Random(8)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice("abé 𝄞") for _ in range(rng.randrange(1, 70)))
+        b = list(a)
+        for _ in range(rng.randrange(12)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = [rng.choice("abé ")] * rng.randrange(2)
+        pairs.append((a, "".join(b) or "a"))
+    most = np.array([rng.randrange(15) for _ in pairs])
+    true = [L.edit_distance(a, b, 99) for a, b in pairs]
+    assert L.all_within(pairs, most).tolist() == [d <= m for d, m in zip(true, most.tolist())]
+    shown = [L.aligned(a, b, m) for (a, b), m in zip(pairs, most.tolist())]
+    assert any(shown) and all(d <= m for d, m, x in zip(true, most.tolist(), shown) if x)
+
+
+def test_changed_words_need_no_distance_of_whole_lines(monkeypatch):
+    plain = L.edit_distance
+
+    def short(a, b, most):
+        assert max(len(a), len(b)) < 40
+        return plain(a, b, most)
+
+    monkeypatch.setattr(L, "edit_distance", short)
+    pairs = [p for p in edited_lines() if len(p[0].split()) >= 20]
+    assert len(pairs) > 20 and all(L.similar(*p) for p in pairs)
+
+
+def test_far_fingerprints_with_a_smaller_key_in_common_are_linked():
+    norms, fps, keys = ["one two three four", "one two three four"], np.array([0, (1 << 40) - 1]), [{2, 101}, {2, 101}]
+    found = [L.key_links(k, fps, [b"a", b"b"], norms, keys, 0.8) for k in (2, 101)]
+    assert [len(x) for x in found] == [0, 1]
+
+
+def test_frequent_lines_and_keys_go_out_as_rows(spark, monkeypatch):
+    monkeypatch.setattr(L, "_PART", 3)
+    monkeypatch.setattr(L, "_ROOM", 10)
+    rows = rows_for_test()
+    near = rows[25][1].split()
+    rows += [(200 + i, " ".join(near[:i] + ["other"] + near[i + 1 :])) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    later = {(r.doc, r.start) for r in L.repeated_lines(df).collect()}
+    assert later == brute(rows)
+
+
 def test_fingerprints_match_plain_sums():
     rng = random.Random(1)
     runs = [[(rng.getrandbits(64), rng.randrange(1, 41)) for _ in range(n)] for n in (3, 1, 700, 255, 256, 40)]
