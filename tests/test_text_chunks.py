@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +25,35 @@ def test_sentences(spark):
     ]
 
 
+def two_passes(text):
+    """Sentences as their SQL has them: spaces behind abbreviations are held by two passes, then the others cut."""
+    held = F.regexp_replace(F.regexp_replace(T.collapse(text), T.AFTER_SHORT, "$1$2$3\u0002"), T.AFTER_SHORT, "$1$2$3\u0002")
+    cut = F.translate(F.regexp_replace(held, T.AFTER_END, "$1\u0001"), "\u0002", " ")
+    return F.filter(F.split(cut, "\u0001"), lambda s: s != "")
+
+
+def test_sentences_are_those_of_the_two_passes(spark):
+    dice = random.Random(3)
+    parts = [*T.ABBREVIATIONS, ".", ".", "..", "!", "?", " ", " ", " ", '"', ")", "]", "(", "x", "é", "中", "\u0001", "\u0002", "\u0085"]
+    texts = ["".join(dice.choice(parts) for _ in range(dice.randint(0, 20))) for _ in range(5000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(~T.sentences(F.col("t")).eqNullSafe(two_passes(F.col("t")))).count() == 0
+
+
+def test_sentences_cost_few_plain_passes(spark):
+    df = spark.createDataFrame([("word and word then Word no. " * 800,)], "t string").crossJoin(spark.range(200)).repartition(4).cache()
+    df.count()
+
+    def seconds(c):
+        began = time.perf_counter()
+        df.select(F.sum(F.length(c))).collect()
+        return time.perf_counter() - began
+
+    least = lambda c: min(seconds(c) for _ in range(3))
+    assert least(F.array_join(T.sentences(F.col("t")), "")) < 4 * least(T.collapse(F.col("t")))
+    df.unpersist()
+
+
 def test_terms_and_stems(spark):
     assert sorted(one(spark, T.terms, "Who fixed BUG-903 in the service?")[0]) == ["bug-903", "fixed", "service"]
     assert one(spark, lambda c: F.transform(F.split(c, " "), T.stem), "rotation services service policies keys does relations") == [
