@@ -54,6 +54,11 @@ def test_sentences_cost_few_plain_passes(spark):
     df.unpersist()
 
 
+def test_first_sentence_reads_on_only_if_the_first_paragraph_has_none(spark):
+    df = spark.createDataFrame([("A b. C.\n\nD.",), ("\u0001\n\nD. E.",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.first_sentence(F.col("t"), F.lit("title"))).collect()] == ["A b.", "D.", "title", "title"]
+
+
 def test_terms_and_stems(spark):
     assert sorted(one(spark, T.terms, "Who fixed BUG-903 in the service?")[0]) == ["bug-903", "fixed", "service"]
     assert one(spark, lambda c: F.transform(F.split(c, " "), T.stem), "rotation services service policies keys does relations") == [
