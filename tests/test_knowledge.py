@@ -77,6 +77,11 @@ def test_stats_and_orphans(triples, ontology):
     assert [r.name for r in X.orphan_entities(triples, ontology).collect()] == ["Cedar"]
 
 
+def test_orphans_extract_once(corpus, ontology):
+    plan = X.orphan_entities(X.extract_triples(corpus, ontology), ontology)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1
+
+
 def test_edges_facts_match(spark, edges, ontology):
     owned = G.edge(edges, "Alder", "owned_by", "Red Team").first()
     assert [s.doc_id for s in owned.sources] == ["svc-alder", "svc-birch"]
