@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sparkloom.functions.text import tokens
-from sparkloom.functions.vectors import dot
 from sparkloom.storage import table
 
 K1, B, TOP_K, ALPHA, THRESHOLD = 1.5, 0.75, 5, 0.65, 0.25
@@ -29,25 +27,127 @@ def _top(scored: DataFrame, query: str, order: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _sortable(value):
+    """A value of any type in Spark's order: null first, structs by their fields."""
+    if value is None:
+        return (0,)
+    return (1, tuple(map(_sortable, value.values())) if isinstance(value, dict) else value)
+
+
+def _places(orders: pa.Array) -> np.ndarray:
+    """Numbers in the order of the values."""
+    if pa.types.is_integer(orders.type) and not orders.null_count:
+        return orders.to_numpy()
+    keys = [_sortable(v) for v in orders.to_pylist()]
+    out = np.empty(len(keys), np.int64)
+    out[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
+    return out
+
+
+def _by_length(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length to (places, matrix) of the vectors that have it; those that are null or hold a null have no product and are left out."""
+    lengths = pc.list_value_length(vectors)
+    flat = vectors.flatten()
+    lengths = lengths.fill_null(-1).to_numpy()
+    if flat.null_count:
+        owner = np.repeat(np.arange(len(lengths)), np.maximum(lengths, 0))
+        broken = np.unique(owner[flat.is_null().to_numpy(zero_copy_only=False)])
+    else:
+        broken = np.empty(0, np.int64)
+    starts = np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
+    values = flat.to_numpy(zero_copy_only=False).astype(float)
+    whole = lengths.copy()
+    whole[broken] = -1
+    out = {}
+    for n in np.unique(whole[whole >= 0]):
+        at = np.flatnonzero(whole == n)
+        same = len(at) == len(lengths)
+        out[int(n)] = at, values.reshape(len(at), n) if same else values[starts[at][:, None] + np.arange(n)]
+    return out
+
+
+def _best_of(names: list, asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int, query_kind: pa.DataType):
+    """For ``mapInArrow`` over (key, order, vector): the best ``k`` of a partition for each query, a run of rows at a time.
+
+    A product of matrices says which pairs may count; these are then summed term by term as ``dot`` does, so scores do not
+    depend on how the product is cut. Memory: one run of scores, and ``k`` rows a query.
+    """
+    slack = 10.0 ** (1 - DIGITS)
+
+    def best(batches):
+        floor = np.full(len(names), -np.inf)
+        col, score, keys, orders = np.empty(0, np.int64), np.empty(0), None, None
+        run = max(k, _CELLS // max(1, len(names)))
+        for batch in batches:
+            for at in range(0, batch.num_rows if names else 0, run):
+                rows = batch.slice(at, run)
+                near = np.full((rows.num_rows, len(names)), -np.inf)
+                given = _by_length(rows.column(2))
+                for n, (r, m) in given.items():
+                    if n in asked:
+                        c, q = asked[n]
+                        near[np.ix_(r, c)] = np.nan_to_num(m @ q.T, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+                least = floor
+                if rows.num_rows > k:
+                    least = np.maximum(floor, np.partition(near, -k, axis=0)[-k])
+                r, c = np.nonzero(near >= np.where(least < np.inf, least - slack * (1 + np.abs(np.where(np.isfinite(least), least, 0))), least))
+                if not len(r):
+                    continue
+                exact = np.full(len(r), np.nan)
+                null = np.ones(len(r), bool)
+                for n, (places, m) in given.items():
+                    if n in asked:
+                        row_at, col_at = np.full(rows.num_rows, -1), np.full(len(names), -1)
+                        row_at[places], col_at[asked[n][0]] = np.arange(len(places)), np.arange(len(asked[n][0]))
+                        mine = np.flatnonzero((row_at[r] >= 0) & (col_at[c] >= 0))
+                        a, b, total = row_at[r[mine]], col_at[c[mine]], np.zeros(len(mine))
+                        for j in range(n):
+                            total += m[a, j] * asked[n][1][b, j]
+                        exact[mine], null[mine] = total, False
+                # a score of null is held as -inf, one of NaN as it is
+                exact[null] = -np.inf
+                picked = pa.array(r)
+                col, score = np.concatenate([col, c]), np.concatenate([score, exact])
+                keys = rows.column(0).take(picked) if keys is None else pa.concat_arrays([keys, rows.column(0).take(picked)])
+                orders = rows.column(1).take(picked) if orders is None else pa.concat_arrays([orders, rows.column(1).take(picked)])
+                shown = np.nan_to_num(np.round(score, DIGITS), nan=np.inf, posinf=np.inf, neginf=-np.inf)
+                sort = np.lexsort((_places(orders), -shown, col))
+                first = np.searchsorted(col[sort], np.arange(len(names)))
+                stays = sort[np.arange(len(sort)) - first[col[sort]] < k]
+                col, score, shown, keys, orders = col[stays], score[stays], shown[stays], keys.take(pa.array(stays)), orders.take(pa.array(stays))
+                full = np.bincount(col, minlength=len(names)) >= k
+                lowest = np.full(len(names), np.inf)
+                np.minimum.at(lowest, col, shown)
+                floor = np.where(full, lowest, -np.inf)
+        if keys is not None:
+            shown = pa.array(score, pa.float64(), mask=score == -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in col], query_kind), keys, orders, shown], names=["_q", "_k", "_o", "score"])
+
+    return best
+
+
 def cosine_topk(
     queries: DataFrame, vectors: DataFrame, query: str, key: str, k: int = TOP_K,
     order: str | None = None, query_vector: str = "embedding", vector: str = "embedding",
 ) -> DataFrame:
     """``query, key, score, rank``: the ``k`` vectors of largest dot product for each query.
 
-    Exact: a stated set of queries is held against every vector. Queries are sent out in blocks of ``BLOCK``; each
-    partition of vectors keeps its own best ``k`` before anything is shuffled. Ties keep ``order``.
+    Exact: a stated set of queries is held against every vector where it lies, as a product of two matrices. Queries are
+    sent out in blocks of ``BLOCK``; each partition of vectors keeps its own best ``k`` before anything is shuffled. Ties keep ``order``.
     """
     order = order or key
-    n = queries.count()
+    asked = table(queries.select(F.col(query).alias("_q"), F.col(query_vector).alias("_qv")))
+    rows = vectors.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col(vector).alias("_v"))
+    blocks = max(1, -(-asked.count() // BLOCK))
+    rows = table(rows) if blocks > 1 else rows
+    schema = StructType([asked.schema["_q"], rows.schema["_k"], rows.schema["_o"], StructField("score", DoubleType())])
+    kind = to_arrow_type(asked.schema["_q"].dataType)
     parts = []
-    blocks = max(1, -(-n // BLOCK))
     for i in range(blocks):
-        q = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == i)
-        q = q.select(F.col(query).alias("_q"), F.col(query_vector).alias("_qv"))
-        each = vectors.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col(vector).alias("_v")).crossJoin(F.broadcast(q))
-        scored = each.select("_q", "_k", "_o", F.round(dot(F.col("_qv"), F.col("_v")), DIGITS).alias("score"))
-        parts.append(_top(scored, "_q", "_o", k))
+        block = asked.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == i).collect()  # about BLOCK queries
+        held = _by_length(pa.array([r["_qv"] for r in block], pa.list_(pa.float64())))
+        scored = rows.mapInArrow(_best_of([r["_q"] for r in block], held, k, kind), schema)
+        parts.append(_top(scored.withColumn("score", F.round("score", DIGITS)), "_q", "_o", k))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -62,8 +162,14 @@ class BM25:
         words = chunks.select(F.col(key).alias("_k"), F.col(order).alias("_o"), tokens(F.col(text)).alias("_t"))
         self.docs = table(words.withColumn("length", F.size("_t")))
         self.stats = self.docs.agg(F.count("*").alias("n"), F.avg("length").alias("avg_len"))
-        df = self.docs.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.stats))
-        self.idf = df.select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        self.idf = self._idf_of()
+
+    def _idf_of(self, terms: DataFrame | None = None) -> DataFrame:
+        """``term, df, idf`` of all terms, or of ``terms`` only, without counting the others."""
+        each = self.docs.select(F.explode(F.array_distinct("_t")).alias("term"))
+        each = each if terms is None else each.join(terms, "term", "left_semi")
+        df = each.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.stats))
+        return df.select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
     @property
     def postings(self) -> DataFrame:
@@ -79,7 +185,7 @@ class BM25:
         with fewer than ``k`` hits, from the first ``k`` chunks in order that each query left out.
         """
         asked = table(queries.select(F.col(query).alias("_q"), F.explode(tokens(F.col(text))).alias("term")).groupBy("_q", "term").agg(F.count("*").alias("m")))
-        weighed = table(asked.join(self.idf, "term").select("_q", "term", "m", "idf"))
+        weighed = table(asked.join(self._idf_of(asked.select("term").distinct()), "term").select("_q", "term", "m", "idf"))
         blocks = max(1, -(-queries.count() // ASKED))
         mean = self.stats.first()["avg_len"] or 1.0
         hits = None
@@ -115,10 +221,12 @@ class BM25:
                     rows = batch.slice(at, run)
                     keys, orders, tokens_, lengths = rows.columns
                     weights = np.zeros((rows.num_rows, len(terms)))
-                    for i, (words, length) in enumerate(zip(tokens_.to_pylist(), lengths.to_pylist())):
-                        norm = k1 * (1 - b + b * length / mean)
-                        for word, tf in Counter(filter(terms.__contains__, words)).items():
-                            weights[i, terms[word]] = tf * (k1 + 1) / (tf + norm)
+                    words = tokens_.flatten()
+                    found = pc.index_in(words, value_set=pa.array(list(terms), words.type)).fill_null(-1).to_numpy()
+                    owner = np.repeat(np.arange(rows.num_rows), pc.list_value_length(tokens_).to_numpy(zero_copy_only=False))
+                    cell, tf = np.unique((owner * len(terms) + found)[found >= 0], return_counts=True)
+                    norm = k1 * (1 - b + b * lengths.to_numpy() / mean)
+                    weights.ravel()[cell] = tf * (k1 + 1) / (tf + norm[cell // max(1, len(terms))])
                     scores = np.round(weights @ asked, DIGITS)
                     order = np.array(orders.to_pylist(), object)
                     row, col = [], []

@@ -19,12 +19,13 @@ def answer(
 ) -> DataFrame:
     """The envelope for each question of ``questions(q_id, question)``.
 
-    ``chunks(chunk_id, doc_id, text, doc_ord)``; vectors are ``(q_id, embedding)`` and ``(chunk_id, embedding)``. Both
-    retrievers run; confidence is always read from the best cosine.
+    ``chunks(chunk_id, doc_id, text, doc_ord)``; vectors are ``(q_id, embedding)`` and ``(chunk_id, embedding)``, and with
+    ``doc_ord`` they are ranked as they are. Both retrievers run; confidence is always read from the best cosine.
     """
     if mode not in MODES:
         raise ValueError(f"unknown rag mode {mode!r}")
-    ordered = vectors.join(chunks.select("chunk_id", F.struct("doc_ord", "chunk_id").alias("_ord")), "chunk_id")
+    placed = vectors if "doc_ord" in vectors.columns else vectors.join(chunks.select("chunk_id", "doc_ord"), "chunk_id")
+    ordered = placed.select("chunk_id", F.struct("doc_ord", "chunk_id").alias("_ord"), "embedding")
     semantic = table(cosine_topk(question_vectors, ordered, key, "chunk_id", k, order="_ord"))
     lexical = table((index or BM25(chunks)).search(questions, key, "question", k))
     chosen = {"semantic": semantic, "lexical": lexical}.get(mode)

@@ -1,8 +1,14 @@
 import math
+import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
+from sparkloom.functions.vectors import dot, l2_normalise
 from sparkloom.operators import embedding as E
 from sparkloom.operators import ranking as R
 
@@ -21,6 +27,43 @@ def test_cosine(spark):
     assert got == [("c1", 1.0), ("c3", 0.707107)]
 
 
+def by_pairs(q, v, k, order):
+    """The search by its definition: every pair by a cross join."""
+    each = q.select("q", F.col("embedding").alias("a")).crossJoin(v)
+    scored = each.select("q", "id", order, F.round(dot(F.col("a"), F.col("embedding")), R.DIGITS).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.asc(order)))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "id", "score", "rank")
+
+
+@pytest.mark.parametrize("order", ["id", "name"])
+def test_cosine_equals_all_pairs_with_ties_nulls_and_ragged_vectors(spark, monkeypatch, order):
+    dice = random.Random(1)
+
+    def vector():
+        n = 4 if dice.random() < 0.9 else dice.choice([None, 0, 3])
+        return n if n is None else [None if dice.random() < 0.01 else dice.choice([0.0, 0.5, dice.random()]) for _ in range(n)]
+
+    v = spark.createDataFrame([(i, f"{i % 10}-{i}", vector()) for i in range(600)], "id long, name string, embedding array<float>").repartition(3)
+    q = v.where("id % 20 = 0").select(F.col("id").alias("q"), "embedding")
+    monkeypatch.setattr(R, "BLOCK", 11)  # several blocks of queries, and runs of rows shorter than a batch
+    monkeypatch.setattr(R, "_CELLS", 1000)
+    got, want = R.cosine_topk(q, v, "q", "id", 5, order=order), by_pairs(q, v, 5, order)
+    assert got.count() == 150 and got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+
+
+def test_cosine_makes_no_row_for_each_pair(spark):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id long, embedding array<double>")
+    plan = R.cosine_topk(v.withColumnRenamed("id", "q"), v, "q", "id", 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+
+
+def test_bm25_search_counts_only_the_terms_asked(spark, chunks, monkeypatch):
+    weighed = []
+    monkeypatch.setattr(R.BM25, "_idf_of", lambda self, terms=None, make=R.BM25._idf_of: weighed.append(terms) or make(self, terms))
+    R.BM25(chunks).search(spark.createDataFrame([(1, "ember zzz")], "q int, text string"), k=3).collect()
+    assert sorted(r.term for r in weighed[-1].collect()) == ["ember", "zzz"]
+
+
 def test_bm25_scores_and_zero_fill(spark, chunks):
     q = spark.createDataFrame([(1, "ember EMBER"), (2, "nothing"), (3, "green ember")], "q int, text string")
     got = {}
@@ -72,6 +115,28 @@ def test_hash_embedding(spark, chunks, digest):
     assert max(got["c#0"]) == 1.0
 
 
+def test_a_word_is_hashed_once_a_batch(spark, monkeypatch):
+    made = E.blake_buckets(F.col("w"), 16)
+    rows = spark.createDataFrame([(["a", "b", "a"],), ([],), (["b"] * 3,)], "w array<string>").coalesce(1)
+    want = [int.from_bytes(E.hashlib.blake2b(w, digest_size=8).digest(), "big") % 16 for w in (b"a", b"b")]
+    assert [r[0] for r in rows.select(made).collect()] == [[want[0], want[1], want[0]], [], [want[1]] * 3]
+    asked = []
+    monkeypatch.setattr(E.hashlib, "blake2b", lambda w, digest_size, real=E.hashlib.blake2b: asked.append(w) or real(w, digest_size=digest_size))
+    monkeypatch.setattr(E.F, "arrow_udf", lambda kind: lambda f: lambda c: f(c))
+    assert E.blake_buckets(pa.array([["a", "b", "a"], ["a"]]), 16).to_pylist() == [[want[0], want[1], want[0]], [want[0]]] and sorted(asked) == [b"a", b"b"]
+
+
+def test_normalising_computes_the_length_once(spark):
+    v = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
+    assert [r[0] for r in v.select(l2_normalise(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    long = spark.range(40).select(F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda x: x.cast("double")).alias("v")).cache()
+    long.count()
+    began = time.perf_counter()
+    long.select(F.sum(F.size(l2_normalise(F.col("v"))))).collect()
+    long.agg(F.sum(l2_normalise(F.col("v"))[7])).collect()
+    assert time.perf_counter() - began < 5  # 4000 * 4000 steps a row took minutes
+
+
 def test_svd_matches_numpy_over_the_whole_vocabulary(spark):
     rng = np.random.default_rng(4)
     topics = [[f"t{k}w{i}" for i in range(25)] for k in range(6)]
