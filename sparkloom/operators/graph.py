@@ -1,7 +1,7 @@
 """A typed multigraph of triples: edges with their sources, facts, neighbourhoods and simple paths.
 
-``nodes(name, type)``; ``edges(subject, predicate, object, sources)`` with ``sources`` an ordered array of
-struct(doc_id, sentence); ``relations(predicate, label, inverse_label)``. Walks ignore direction; rendering keeps it.
+``nodes(name, type)``; ``edges(subject, predicate, object, sources, n_sources)`` with ``sources`` an ordered array of
+struct(doc_id, sentence), and their number where edges are built here; ``relations(predicate, label, inverse_label)``. Walks ignore direction; rendering keeps it.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ MAX_HOPS = 4
 
 
 def build_edges(triples: DataFrame, order: str = "triple_ord") -> DataFrame:
-    """One edge for each (subject, predicate, object), with every assertion of it in order."""
+    """One edge for each (subject, predicate, object), with every assertion of it in order, and their number.
+
+    A plan that reads the number alone gathers no assertion: they are counted map-side.
+    """
     each = F.struct(F.col(order).alias("ord"), "doc_id", "sentence")
-    grouped = triples.groupBy("subject", "predicate", "object").agg(F.array_sort(F.collect_list(each)).alias("_s"))
-    return grouped.select("subject", "predicate", "object", F.transform("_s", lambda s: F.struct(s["doc_id"], s["sentence"])).alias("sources"))
+    grouped = triples.groupBy("subject", "predicate", "object").agg(F.array_sort(F.collect_list(each)).alias("_s"), F.count("*").alias("n_sources"))
+    return grouped.select("subject", "predicate", "object", F.transform("_s", lambda s: F.struct(s["doc_id"], s["sentence"])).alias("sources"), "n_sources")
 
 
 def doc_ids(sources: Column) -> Column:

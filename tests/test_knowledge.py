@@ -90,6 +90,20 @@ def test_edges_facts_match(spark, edges, ontology):
     assert G.match(edges, object="Birch").count() == 2 and G.match(edges, subject="nobody").count() == 0
 
 
+def test_counting_assertions_gathers_none(triples, edges):
+    counted = G.build_edges(triples).select("subject", "predicate", "object", "n_sources")
+    assert "collect_list" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    assert counted.exceptAll(edges.selectExpr("subject", "predicate", "object", "cast(size(sources) as long)")).count() == 0
+
+
+def test_links_of_a_page_meet_before_the_join(spark):
+    rows = [("a", "topic", "See [[b]] and [[c]].", []), ("b", "entity", "", []), ("c", "entity", "[[b]]", []), ("d", "entity", "", [])]
+    made = spark.createDataFrame(rows, "title string, page_type string, summary string, sections array<struct<heading:string,body:string>>")
+    orphans = lint.orphan_pages(made)
+    assert [r.subject for r in orphans.collect()] == ["d"]
+    assert "Aggregate [title" in orphans._jdf.queryExecution().optimizedPlan().toString()
+
+
 def labels(ontology):
     return G.label_map([(r.predicate, r.label) for r in ontology.relations])
 
