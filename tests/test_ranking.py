@@ -168,3 +168,40 @@ def test_svd_and_factory(spark, chunks):
         E.build_embedder({"backend": "x"})
     with pytest.raises(ValueError, match="fitted on the corpus"):
         E.build_embedder({"backend": "tfidf-svd"})
+
+
+@pytest.mark.parametrize("held", [5, 1000])
+def test_tfidf_by_blocks_with_a_key_met_twice(spark, monkeypatch, held):
+    monkeypatch.setattr(E, "HELD", held)
+    texts = [(i % 29, f"word{i % 7} the word{i % 3} x only{i} word{i % 7}") for i in range(30)] + [(40, ""), (41, "the of")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    weights, idf = E.tfidf(df, "doc_id", "text")
+    bags = {}
+    for k, t in texts:
+        for w in (w for w in t.split() if len(w) > 1 and w != "the" and w != "of"):
+            bags.setdefault(k, {}).setdefault(w, 0)
+            bags[k][w] += 1
+    count = {}
+    for bag in bags.values():
+        for w in bag:
+            count[w] = count.get(w, 0) + 1
+    known = {w: math.log((1 + len(texts)) / (1 + n)) + 1 for w, n in count.items()}
+    assert {r.term: round(r.idf, 9) for r in idf.collect()} == {w: round(x, 9) for w, x in known.items()}
+    want = {}
+    for k, bag in bags.items():
+        norm = math.sqrt(sum((n * known[w]) ** 2 for w, n in bag.items()))
+        want |= {(k, w): round(n * known[w] / norm, 9) for w, n in bag.items()}
+    assert {(r.doc_id, r.term): round(r.weight, 9) for r in weights.collect()} == want
+    assert "Join" not in weights._jdf.queryExecution().optimizedPlan().toString()  # no row for each word of each document is matched
+
+
+def test_svd_by_blocks_gives_the_fitted_what_encoding_gives(spark, monkeypatch):
+    monkeypatch.setattr(E, "HELD", 60)
+    rng = np.random.default_rng(2)
+    docs = [(i, " ".join(rng.choice([f"t{i % 4}w{j}" for j in range(12)], 20)) + f" only{i} shared{i % 9}") for i in range(48)] + [(90, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).cache()
+    model = E.TfidfSvd(4).fit(df, "doc_id", "text")
+    own = {r.doc_id: np.array(r.embedding) for r in model.encode_fitted().collect()}
+    made = {r.doc_id: np.array(r.embedding) for r in model.encode(df, "doc_id", "text").collect()}
+    assert own.keys() == made.keys() and max(np.abs(own[k] - made[k]).max() for k in made) < 1e-8 and not own[90].any()
+    df.unpersist()
